@@ -97,6 +97,16 @@ def x_agg_wide(long: DataFrame, features: Sequence[str]) -> DataFrame:
     return long.groupBy("PATIENT", "CVD").pivot("feature", list(features)).agg(*[F.first(s).alias(s) for s in ALL_STATS])
 
 
+def dense_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
+    """(PATIENT, CODE, slice) for every slice, patient and feature, with the raw statistics."""
+    sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
+    per_slice = aggregates.stats4(sliced, ["PATIENT", "CODE", "slice"], "value")
+    valued = daily.filter(F.col("value").isNotNull()).select("CODE").distinct()
+    names = valued.agg(F.array_sort(F.collect_set("CODE")).alias("names")).scalar()
+    pairs = daily.select("PATIENT").distinct().withColumn("CODE", F.explode(names))
+    return joins.slice_grid(pairs, n_slices).join(per_slice, ["PATIENT", "CODE", "slice"], "left")
+
+
 def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
     """(PATIENT, CVD, feature, slice, sd, min, max, median, missing) with every slice of every patient.
 
