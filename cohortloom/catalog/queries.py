@@ -51,13 +51,13 @@ def _plain(df: DataFrame) -> DataFrame:
     """Round doubles and write dates as text, so that both engines hash alike."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = f"round(cast({c} as double), 6)"
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
-        out.append(c.alias(f.name.replace(".", "_")))
-    return df.select(out)
+            c = f"cast({c} as string)"
+        out.append(f"{c} as `{f.name.replace('.', '_')}`")
+    return df.selectExpr(out)
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -89,18 +89,22 @@ def scan_project(v: Views) -> DataFrame:
 
 @query
 def scan_dir_filekey(v: Views) -> DataFrame:
-    """Writes the calls as one folder per patient, then reads them back in one scan."""
+    """Writes the calls with one folder per nation of the patient, then reads all folders in one scan."""
     path = fresh_path(v.spark, "calls")
-    named = v.calls().withColumn("dna_file", F.concat(F.lit("first_last_"), "PATIENT_ID", F.lit("_dna.csv")))
+    people = v.table("customer").select(F.col("c_custkey").alias("PATIENT_ID"), "c_nationkey")
+    named = v.calls().join(people, "PATIENT_ID").withColumn(
+        "dna_file", F.concat(F.lit("first_last_"), "c_nationkey", F.lit("_dna.csv"))
+    )
     (
-        named.drop("PATIENT_ID")
-        .repartition("dna_file")
+        named.select("dna_file", *schemas.GENOTYPE_CALLS.names)
         .write.partitionBy("dna_file")
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return read_keyed_folder(v.spark, path, schemas.GENOTYPE_CALLS, folder="dna_file")
+    return read_keyed_folder(v.spark, path, schemas.GENOTYPE_CALLS, "FILE_ID", folder="dna_file")
 
 
 def _metric_tables(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -381,8 +385,8 @@ def flatten_slices(v: Views) -> DataFrame:
 
 @query
 def pivot_genotype(v: Views) -> DataFrame:
-    wide = genomics.genotype_matrix(genomics.dosage(v.calls()), snp_names())
-    return wide.select("PATIENT_ID", *[F.col(s).cast("double").alias(s) for s in snp_names()])
+    dosages = genomics.dosage(v.calls()).withColumn("dosage", F.col("dosage").cast("double"))
+    return genomics.genotype_matrix(dosages, snp_names())
 
 
 @query
@@ -750,8 +754,7 @@ def pipe_x_temp_flat(v: Views) -> DataFrame:
 
 @query
 def pipe_early_fusion(v: Views) -> DataFrame:
-    genotypes = genomics.genotype_matrix(genomics.dosage(v.calls()), snp_names())
-    genotypes = genotypes.select("PATIENT_ID", *[F.col(s).cast("double").alias(s) for s in snp_names()])
+    genotypes = genomics.genotype_matrix(genomics.dosage(v.calls()).withColumn("dosage", F.col("dosage").cast("double")), snp_names())
     return features.early_fusion(features.x_agg_wide(_x_agg(v), FEATURES), genotypes)
 
 

@@ -77,8 +77,8 @@ def _histogram(source: str, x: str, bins: int, low: str, high: str, extra: str =
 
 _TABLES: dict[str, str] = {
     "scan_project": "select o_custkey, cast(o_orderdate as date)::varchar || ' 00:00:00' as o_orderdate, o_orderpriority from orders",
-    "scan_dir_filekey": """select cast(PATIENT_ID as varchar) as PATIENT_ID, CHROMOSOME, cast(LOCATION as varchar) as LOCATION,
-        ANCESTRAL_ALLELE, VARIANT_ALLELE_LIST, ALLELE, VARIANT from v_calls""",
+    "scan_dir_filekey": """select cast(c_nationkey as varchar) as "FILE_ID", CHROMOSOME, cast(LOCATION as varchar) as LOCATION,
+        ANCESTRAL_ALLELE, VARIANT_ALLELE_LIST, ALLELE, VARIANT from v_calls join customer on PATIENT_ID = c_custkey""",
     "scan_union_by_name": f"""select data_type, {rs('f1', 'recall')}, cast(null as double) as "AUROC" from v_table1
         union all select "Dataset", null, null, {r('"AUROC"')} from v_table2""",
     "select_rename_drop": "select Id as PATIENT, FIRST, LAST, GENDER, RACE, GENDER as SEX from v_patient",

@@ -48,7 +48,7 @@ def logistic(n_rows: int, c: float = 1.0, max_iter: int = 1000, penalised_interc
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=1e-7,
         fitIntercept=not penalised_intercept,
     )
 
@@ -238,24 +238,40 @@ def permutation_attributions(
     """
     chosen = background.orderBy(F.xxhash64(F.col(id_), F.lit(seed))).limit(max_background)
     pool = materialize(chosen.agg(F.collect_list(F.col("features").cast("array<double>")).alias("_pool")), "pool")
-    steps = F.sequence(F.lit(0), F.lit(size))
+    positions = F.sequence(F.lit(0), F.lit(size - 1))
     order = F.transform(
         F.array_sort(
             F.transform(
-                F.sequence(F.lit(0), F.lit(size - 1)),
-                lambda i: F.struct(F.xxhash64(F.col(id_), i, F.lit(seed)).alias("h"), i.alias("i")),
+                positions, lambda i: F.struct(F.xxhash64(F.col(id_), i, F.lit(seed)).alias("h"), i.alias("i"))
             )
         ),
         lambda s: s["i"],
     )
+    # Each walk is its order and, for every feature, the step at which it has moved.
+    moved_at = F.transform(positions, lambda i: F.array_position("_forward", i).cast("int"))
     walks = (
         rows.select(id_, F.col("features").cast("array<double>").alias("_x"), order.alias("_forward"))
-        .withColumn("_order", F.explode(F.array(F.col("_forward"), F.reverse("_forward"))))
-        .withColumn("_step", F.explode(steps))
+        .withColumn("_moved_at", moved_at)
+        .withColumn(
+            "_walk",
+            F.explode(
+                F.array(
+                    F.struct(F.col("_forward").alias("order"), F.col("_moved_at").alias("at")),
+                    F.struct(
+                        F.reverse("_forward").alias("order"),
+                        F.transform("_moved_at", lambda k: F.lit(size + 1) - k).alias("at"),
+                    ),
+                )
+            ),
+        )
+        .withColumn("_order", F.col("_walk.order"))
+        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(size))))
         .withColumn("_b", F.explode(pool.scalar()))
     )
-    moved = F.slice(F.col("_order"), F.lit(1), F.col("_step"))
-    hybrid = F.transform(F.col("_x"), lambda x, i: F.when(F.array_contains(moved, i), x).otherwise(F.get(F.col("_b"), i)))
+    hybrid = F.transform(
+        F.arrays_zip(F.col("_x").alias("x"), F.col("_b").alias("b"), F.col("_walk.at").alias("at")),
+        lambda z: F.when(z["at"] <= F.col("_step"), z["x"]).otherwise(z["b"]),
+    )
     inputs = walks.select(id_, "_order", "_step", array_to_vector(hybrid).alias("features"))
     p = vector_to_array(F.col("probability"))[1]
     # The output after step k counts for the feature moved at k and against the one moved next.

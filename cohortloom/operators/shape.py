@@ -46,9 +46,10 @@ def drop_all_null_features(df: DataFrame, feature: str, value: str) -> DataFrame
 
 def drop_all_null_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Drop columns that have no value at all (wide form): one pass counts all columns."""
-    others = [c for c in df.columns if c not in set(keep)]
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in others]).first().asDict()
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in set(keep) or counts[c] > 0])
+    kept = set(keep)
+    others = [c for c in df.columns if c not in kept]
+    counts = df.selectExpr(*[f"count(`{c}`) as `{c}`" for c in others]).first().asDict()
+    return df.select(*[f"`{c}`" for c in df.columns if c in kept or counts[c] > 0])
 
 
 def missing_indicator(median: Column) -> Column:
@@ -59,12 +60,12 @@ def missing_indicator(median: Column) -> Column:
 def add_missing_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``<feature>_missing`` right after ``<feature>_median`` (wide form)."""
     wanted = {f"{f}_median": f"{f}_missing" for f in features}
-    out: list[Column] = []
+    out: list[str] = []
     for c in df.columns:
-        out.append(F.col(f"`{c}`"))
+        out.append(f"`{c}`")
         if c in wanted:
-            out.append(missing_indicator(F.col(f"`{c}`")).alias(wanted[c]))
-    return df.select(*out)
+            out.append(f"cast(`{c}` is null as int) as `{wanted[c]}`")
+    return df.selectExpr(*out)
 
 
 def known_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
@@ -88,8 +89,7 @@ def unpivot_long(
 ) -> DataFrame:
     """One row per column."""
     values = columns or [c for c in df.columns if c not in set(keys)]
-    quoted = [F.col(f"`{c}`") for c in values]
-    return df.unpivot([F.col(f"`{k}`") for k in keys], quoted, name, value)
+    return df.unpivot([f"`{k}`" for k in keys], [f"`{c}`" for c in values], name, value)
 
 
 def flatten_slices(

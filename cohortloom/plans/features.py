@@ -175,13 +175,10 @@ def x_temp_flat(long: DataFrame, features: Sequence[str], n_slices: int = 8) ->
     cells = [f"{f}_slice{n}" for f in features for n in range(1, n_slices + 1)]
     named = long.withColumn("_cell", F.concat("feature", F.lit("_slice"), "slice"))
     wide = named.groupBy("PATIENT", "CVD").pivot("_cell", cells).agg(*[F.first(s).alias(s) for s in ALL_STATS])
-    columns = [
-        F.col(f"`{f}_slice{n}_{s}`").alias(f"{f}_{s}_slice{n}")
-        for n in range(1, n_slices + 1)
-        for f in features
-        for s in ALL_STATS
-    ]
-    return wide.select("PATIENT", "CVD", *columns)
+    # Names only: thousands of column expressions would cost more than the pivot.
+    order = [(f, n, s) for n in range(1, n_slices + 1) for f in features for s in ALL_STATS]
+    picked = wide.select("PATIENT", "CVD", *[f"`{f}_slice{n}_{s}`" for f, n, s in order])
+    return picked.toDF("PATIENT", "CVD", *[f"{f}_{s}_slice{n}" for f, n, s in order])
 
 
 def feature_arrays(long: DataFrame, keys: Sequence[str] = ("PATIENT", "CVD")) -> DataFrame:
