@@ -69,7 +69,7 @@ def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 
 
 def _first_events(v: Views) -> DataFrame:
-    return cohort.first_events(v.conditions(), cohort.code_table(v.conditions(), v.codes_a(), v.codes_b()))
+    return cohort.first_events_of_lists(v.conditions(), v.codes_a(), v.codes_b())
 
 
 def _daily(v: Views) -> DataFrame:
@@ -284,7 +284,7 @@ def agg_two_level(v: Views) -> DataFrame:
 
 @query
 def agg_first_event(v: Views) -> DataFrame:
-    return _first_events(v)
+    return cohort.first_events(v.conditions(), cohort.code_table(v.conditions(), v.codes_a(), v.codes_b()))
 
 
 @query

@@ -24,6 +24,12 @@ def first_events(conditions: DataFrame, codes: DataFrame) -> DataFrame:
     return aggregates.first_event(cases, "PATIENT", "START", "first_cvd_date")
 
 
+def first_events_of_lists(conditions: DataFrame, list_a: DataFrame, list_b: DataFrame) -> DataFrame:
+    """The same straight from the two lists, without counting the codes first: one pass over the log."""
+    cases = joins.keep_members(conditions, sets.union(list_a, list_b, "CODE"), ["CODE"])
+    return aggregates.first_event(cases, "PATIENT", "START", "first_cvd_date")
+
+
 def label_rows(rows: DataFrame, events: DataFrame, name: str = "CVD") -> DataFrame:
     """Ever/never label on every row of a patient."""
     return joins.membership_flag(rows, events, ["PATIENT"], name)

@@ -92,9 +92,28 @@ def x_agg(daily: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _columns_from_cells(long: DataFrame, place: Sequence[str], cells: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """Wide table from a dense long one: one shuffle gathers a patient's cells in order, then columns are picked by place.
+
+    ``cells`` are the expected (feature[, slice]) in sorted order; their number
+    is the width of the table, which bounds what is gathered per patient. A
+    patient with other cells is an error, not a shifted row.
+    """
+    cell = F.struct(*place, *ALL_STATS)
+    gathered = long.groupBy("PATIENT", "CVD").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    wrong = F.raise_error(F.lit("the long table is not dense over the listed columns"))
+    expected = F.array(*[F.lit(f"{c[0]}|{c[1]}" if len(c) > 1 else c[0]) for c in cells])
+    found = F.transform("cells", lambda c: F.concat_ws("|", *[c[p].cast("string") for p in place]))
+    checked = gathered.withColumn("cells", F.when(found == expected, F.col("cells")).otherwise(wrong.cast(gathered.schema["cells"].dataType)))
+    picked = [f"cells[{i}].{s}" for i in range(len(cells)) for s in ALL_STATS]
+    return checked.selectExpr("PATIENT", "CVD", *[f"{p} as `{n}`" for p, n in zip(picked, names)])
+
+
 def x_agg_wide(long: DataFrame, features: Sequence[str]) -> DataFrame:
     """Columns ``<feature>_<sd|min|max|median|missing>`` per patient."""
-    return long.groupBy("PATIENT", "CVD").pivot("feature", list(features)).agg(*[F.first(s).alias(s) for s in ALL_STATS])
+    ordered = sorted(features)
+    names = [f"{f}_{s}" for f in ordered for s in ALL_STATS]
+    return _columns_from_cells(long, ["feature"], [(f,) for f in ordered], names)
 
 
 def dense_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
@@ -171,14 +190,10 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
 
 
 def x_temp_flat(long: DataFrame, features: Sequence[str], n_slices: int = 8) -> DataFrame:
-    """Columns ``<feature>_<statistic>_slice<n>`` per patient, by one pivot over (feature, slice)."""
-    cells = [f"{f}_slice{n}" for f in features for n in range(1, n_slices + 1)]
-    named = long.withColumn("_cell", F.concat("feature", F.lit("_slice"), "slice"))
-    wide = named.groupBy("PATIENT", "CVD").pivot("_cell", cells).agg(*[F.first(s).alias(s) for s in ALL_STATS])
-    # Names only: thousands of column expressions would cost more than the pivot.
-    order = [(f, n, s) for n in range(1, n_slices + 1) for f in features for s in ALL_STATS]
-    picked = wide.select("PATIENT", "CVD", *[f"`{f}_slice{n}_{s}`" for f, n, s in order])
-    return picked.toDF("PATIENT", "CVD", *[f"{f}_{s}_slice{n}" for f, n, s in order])
+    """Columns ``<feature>_<statistic>_slice<n>`` per patient."""
+    cells = [(f, n) for f in sorted(features) for n in range(1, n_slices + 1)]
+    names = [f"{f}_{s}_slice{n}" for f, n in cells for s in ALL_STATS]
+    return _columns_from_cells(long, ["feature", "slice"], cells, names)
 
 
 def feature_arrays(long: DataFrame, keys: Sequence[str] = ("PATIENT", "CVD")) -> DataFrame:
