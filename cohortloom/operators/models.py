@@ -7,7 +7,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Model
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasMaxIter, HasRegParam, HasTol
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +38,46 @@ def from_arrays(df: DataFrame, array: str, label: str, keep: Sequence[str] = ())
     return df.select(*keep, F.col(label).cast("double").alias("label"), array_to_vector(F.col(array).cast("array<double>")).alias("features"))
 
 
-def logistic(n_rows: int, c: float = 1.0, max_iter: int = 1000, penalised_intercept: bool = False) -> LogisticRegression:
+class PenalisedLogistic(Estimator, HasRegParam, HasMaxIter, HasTol):
+    """Logistic regression without a free intercept, on features that end in a constant 1.
+
+    Spark ML gives a feature without variance no weight. So half of the
+    training rows are mirrored: features negated and label exchanged. Each
+    row's loss stays what it was, and the constant now varies.
+    """
+
+    def __init__(self, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-7):
+        super().__init__()
+        self._setDefault(regParam=0.0, maxIter=100, tol=1e-7)
+        self._set(regParam=reg, maxIter=max_iter, tol=tol)
+
+    def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
+        x = vector_to_array(F.col("features"))
+        mirrored = F.pmod(F.xxhash64(x), F.lit(2)) == 1
+        rows = dataset.select(
+            F.when(mirrored, 1.0 - F.col("label")).otherwise(F.col("label")).alias("label"),
+            array_to_vector(F.when(mirrored, F.transform(x, lambda v: -v)).otherwise(x)).alias("features"),
+        )
+        return LogisticRegression(
+            regParam=self.getRegParam(),
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=self.getMaxIter(),
+            tol=self.getTol(),
+            fitIntercept=False,
+        ).fit(rows)
+
+
+def logistic(n_rows: int, c: float = 1.0, max_iter: int = 1000, penalised_intercept: bool = False) -> Estimator:
     """L2 logistic regression whose penalty equals an inverse strength ``c`` on summed losses.
 
-    The intercept is free. Where it is to be penalised too, give the features a
-    constant column first (``with_constant``) and set ``penalised_intercept``.
+    The intercept is free. With ``penalised_intercept`` it is the weight of a
+    constant that ``with_constant`` appends to the features.
     """
-    return LogisticRegression(
-        regParam=1.0 / (c * n_rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-7,
-        fitIntercept=not penalised_intercept,
-    )
+    reg = 1.0 / (c * n_rows)
+    if penalised_intercept:
+        return PenalisedLogistic(reg, max_iter)
+    return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-7)
 
 
 def with_constant(df: DataFrame) -> DataFrame:
@@ -60,6 +87,7 @@ def with_constant(df: DataFrame) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, penalised_intercept: bool = False) -> LogisticRegressionModel:
+    """Fit on (label, features); a penalised intercept is the last coefficient."""
     rows = with_constant(train) if penalised_intercept else train
     return logistic(train.count(), c, max_iter, penalised_intercept).fit(rows)
 
