@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cohortloom.catalog import QUERIES
-from cohortloom.session import build
+from cohortloom.session import build, release
 
 HEADLINE = (
     "pipe_cohort_label",
@@ -54,6 +54,7 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    release(spark)
     spark.stop()
     scale = Path(folder).name.removeprefix("sf")
     total = round(sum(times.values()), 3)

@@ -79,6 +79,7 @@ def order_statistics(
     ranks: Mapping[str, Callable[[Column], Column]],
     result: Column | None = None,
     accuracy: int = 10_000,
+    window_rows: int = 5_000_000,
 ) -> DataFrame:
     """Exact k-th smallest values per key, without sorting a key's rows.
 
@@ -87,7 +88,9 @@ def order_statistics(
     First pass: a mergeable quantile sketch of fixed size brackets each
     fraction. Second pass: one count per distinct value inside the brackets
     and one count for each gap between them; cumulative counts then hold the
-    exact ranks. A bracket holds about ``6 / accuracy`` of a key's rows.
+    exact ranks. A bracket holds about ``6 / accuracy`` of a key's rows; where
+    that could exceed ``window_rows`` the counts are accumulated over range
+    partitions, else in one window per key.
 
     ``result`` is the value to return where it is finer than the numeric
     ``value`` (a hash text whose leading digits are ``value``); it must sort
@@ -131,8 +134,13 @@ def order_statistics(
         .groupBy(*keys, "_n", "_zone", "_v", "_r")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = Window.partitionBy(*keys).orderBy("_zone", "_v", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_cum", F.sum("_c").over(upto))
+    order = [F.col("_zone"), F.col("_v"), F.col("_r")]
+    largest = brackets.agg(F.max("_n")).first()[0] or 0
+    if min(largest, max(2 * margin * len(fractions) * largest, accuracy)) > window_rows:
+        cells = running_totals(cells, keys, order, {"_cum": F.col("_c")})
+    else:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("_cum", F.sum("_c").over(upto))
     n = F.col("_n")
     picks = []
     for name, rank in ranks.items():

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from cohortloom.session import build
+from cohortloom.session import build, release
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

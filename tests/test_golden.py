@@ -201,6 +201,13 @@ def test_aligned_weights_keep_the_sign_of_the_effect_allele(spark):
     assert plain == {"1_5_A_C": 0.2, "1_6_G_T": None}
 
 
+def test_genotype_vectors_hold_positions_in_order(spark):
+    dosages = genomics.dosage(spark.createDataFrame(CALLS, CALL_SCHEMA))
+    index = spark.createDataFrame([("1_100_A_C", 1), ("1_100_A_G", 0), ("9_9_A_C", 2)], "SNP_ID string, snp_index int")
+    got = {r[0]: (r[1], r[2]) for r in genomics.genotype_vectors(dosages, index).collect()}
+    assert got == {"s1": ([0, 1], [0, 2]), "s2": ([0, 1], [0, 0])}
+
+
 def test_duplicate_weights_keep_the_smallest_p_value(spark):
     rows = spark.createDataFrame([("x", 0.1, 0.5), ("x", 0.2, 0.01), ("x", 0.3, None)], "SNP_ID string, beta double, p_value double")
     assert tuple(joins.one_weight_per_snp(rows).select("beta", "p_value").first()) == (0.2, 0.01)

@@ -29,10 +29,17 @@ def test_medians(hot):
     assert joined.filter("m <> w").count() == 0
 
 
-def test_medians_with_narrow_brackets(hot):
+@pytest.mark.parametrize("window_rows", [5_000_000, 10])
+def test_order_statistics_with_narrow_brackets(hot, window_rows):
     """A coarse sketch on many rows takes the path where brackets exclude most values."""
     got = ordering.order_statistics(
-        hot, ["k"], F.col("v"), [0.25], {"q": lambda n: F.floor(n * 0.25) + 1}, accuracy=100
+        hot,
+        ["k"],
+        F.col("v"),
+        [0.25],
+        {"q": lambda n: F.floor(n * 0.25) + 1},
+        accuracy=100,
+        window_rows=window_rows,
     )
     w = Window.partitionBy("k").orderBy("v")
     ranked = hot.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("k")))
