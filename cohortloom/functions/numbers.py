@@ -13,8 +13,8 @@ def to_number(text: Column) -> Column:
     NaN becomes null so that means, medians and maxima ignore it.
     """
     trimmed = F.trim(text)
-    number = F.when(~trimmed.rlike("[dDfF]$"), trimmed.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    suffixed = F.lower(F.right(trimmed, F.lit(1))).isin("d", "f")
+    return F.nullif(F.when(~suffixed, trimmed.try_cast("double")), F.lit(float("nan")))
 
 
 def natural_log(x: Column) -> Column:
