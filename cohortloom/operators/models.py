@@ -46,9 +46,9 @@ class PenalisedLogistic(Estimator, HasRegParam, HasMaxIter, HasTol):
     row's loss stays what it was, and the constant now varies.
     """
 
-    def __init__(self, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-7):
+    def __init__(self, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6):
         super().__init__()
-        self._setDefault(regParam=0.0, maxIter=100, tol=1e-7)
+        self._setDefault(regParam=0.0, maxIter=100, tol=1e-6)
         self._set(regParam=reg, maxIter=max_iter, tol=tol)
 
     def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
@@ -77,7 +77,7 @@ def logistic(n_rows: int, c: float = 1.0, max_iter: int = 1000, penalised_interc
     reg = 1.0 / (c * n_rows)
     if penalised_intercept:
         return PenalisedLogistic(reg, max_iter)
-    return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-7)
+    return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
 
 
 def with_constant(df: DataFrame) -> DataFrame:
