@@ -6,16 +6,21 @@ bytes, so that its arrays stay small whatever the length of the texts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.session import prepare
 
+# Executors get the mappers by value: they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules["cohortloom.llm"])
+
 #: Bytes of text whose words are hashed at once.
 BLOCK = 1 << 20
 #: Rows in an Arrow batch: bounds what a worker holds when every text is long.
@@ -71,6 +76,16 @@ def sample_by_hash(df: DataFrame, key: str, per_key: int) -> DataFrame:
     return df.where(place < share)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, per_key: int) -> DataFrame:
+    """(doc_id, text, ``key``) of about ``per_key`` labelled rows of each label 0 and 1.
+
+    The sample is drawn from the labels alone; its ids, about ``2 * per_key`` whatever the
+    tables' size, are broadcast to the scan of the documents, so that no text is shuffled.
+    """
+    known = labels.where(F.col(key).isin(0, 1)).select("doc_id", F.col(key).cast("int").alias(key))
+    return docs.select("doc_id", "text").join(F.broadcast(sample_by_hash(known, key, per_key)), "doc_id")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows; a null is an empty text."""
     if column.null_count:

@@ -23,11 +23,11 @@ from cohortloom.llm.common import (
     blocks,
     flat,
     held_out,
+    labelled_sample,
     learnt_from,
     mix,
     read_table,
     ready,
-    sample_by_hash,
     shingle_hashes,
     word_hashes,
 )
@@ -103,19 +103,19 @@ class Leader:
         self.n[at] += g * g
 
 
-def learn(rows: DataFrame) -> np.ndarray | None:
-    """Weights from (doc_id, text, quality), intercept last; None without a learning row.
+def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """Weights from (doc_id, text) and (doc_id, quality), intercept last; None without a learning row.
 
     The rows taken are bounded by ``SAMPLE_ROWS``; one executor task runs the updates over them
     and returns the weights, so that neither texts nor vectors reach the driver.
     """
-    known = rows.where(F.col("quality").isin(0, 1)).select("doc_id", "text", "quality")
+    known = labels.where(F.col("quality").isin(0, 1))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     # Each label weighs as in the table, however many of its rows the sample has.
     heavy = {y: max(1.0, n / SAMPLE_ROWS) for y, n in counts.items()}
     low = min(heavy.values(), default=1.0)
-    taken = sample_by_hash(known, "quality", SAMPLE_ROWS).select(
-        "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", F.lit("order")).alias("place")
+    taken = labelled_sample(docs, labels, "quality", SAMPLE_ROWS).select(
+        "text", "quality", F.xxhash64("doc_id", F.lit("order")).alias("place")
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(learnt_from(F.col("doc_id"), 3, 1))
-    weights = learn(docs.join(labels, "doc_id"))
+    weights = learn(docs, labels)
     return score(docs, weights).select(
         "doc_id",
         held_out(F.col("doc_id"), 3, 1).alias("held_out"),

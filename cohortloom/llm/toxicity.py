@@ -27,10 +27,10 @@ from cohortloom.llm.common import (
     blocks,
     flat,
     held_out,
+    labelled_sample,
     learnt_from,
     read_table,
     ready,
-    sample_by_hash,
     word_hashes,
     word_spans,
 )
@@ -114,10 +114,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
-def learn(rows: DataFrame) -> dict:
-    """The two dictionaries and the calibration from (doc_id, text, toxic); the rows taken are bounded by ``SAMPLE_ROWS``."""
-    known = rows.where(F.col("toxic").isin(0, 1)).select("doc_id", "text", "toxic")
-    sample = sample_by_hash(known, "toxic", SAMPLE_ROWS)
+def learn(docs: DataFrame, labels: DataFrame) -> dict:
+    """The two dictionaries and the calibration from (doc_id, text) and (doc_id, toxic); ``SAMPLE_ROWS`` bounds the rows taken."""
+    known = labels.where(F.col("toxic").isin(0, 1))
+    sample = labelled_sample(docs, labels, "toxic", SAMPLE_ROWS)
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(2)).alias("part")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def learn(rows: DataFrame) -> dict:
             arrays = [batch.column("toxic"), batch.column("part"), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "part", "codes"])
 
-    taken = sample.select("text", F.col("toxic").cast("int").alias("toxic"), part)
+    taken = sample.select("text", "toxic", part)
     got = taken.mapInArrow(codes, "toxic int, part long, codes binary").collect()
     got.sort(key=lambda r: bytes(r["codes"]))
     text = {(t, p): [np.frombuffer(r["codes"], np.uint64) for r in got if (r["toxic"], r["part"]) == (t, p)] for t in (0, 1) for p in (0, 1)}
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(learnt_from(F.col("doc_id"), 4, 2))
-    model = learn(docs.join(labels, "doc_id"))
+    model = learn(docs, labels)
     return score(docs, model).select(
         "doc_id",
         held_out(F.col("doc_id"), 4, 2).alias("held_out"),
