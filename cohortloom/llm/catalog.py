@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.decontamination import op8_decontamination
 from cohortloom.llm.language import op6_language_id
+from cohortloom.llm.near_duplicates import op2_near_duplicates
 from cohortloom.llm.pii import op1_pii
 from cohortloom.llm.quality import op7_quality
 from cohortloom.llm.rules import op9_quality_rules
@@ -15,6 +16,7 @@ from cohortloom.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
