@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.decontamination import op8_decontamination
 from cohortloom.llm.language import op6_language_id
+from cohortloom.llm.lines import op10_line_dedup
 from cohortloom.llm.near_duplicates import op2_near_duplicates
 from cohortloom.llm.pii import op1_pii
 from cohortloom.llm.quality import op7_quality
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {}
