@@ -30,18 +30,18 @@ DICTIONARY = 1 << 14
 #: Below this share of the best size, and below so many bytes, the margin is narrow.
 MARGIN, MARGIN_BYTES = 0.004, 2
 #: Matches from four bytes on, looked for lazily: short words count, at a third of the cost of optimal parsing.
-PARAMETERS = zstandard.ZstdCompressionParameters(
-    window_log=17,
-    chain_log=15,
-    hash_log=15,
-    search_log=2,
-    min_match=4,
-    target_length=16,
-    strategy=zstandard.STRATEGY_LAZY,
-    write_content_size=0,
-    write_checksum=0,
-    write_dict_id=0,
-)
+PARAMETERS = {
+    "window_log": 17,
+    "chain_log": 15,
+    "hash_log": 15,
+    "search_log": 2,
+    "min_match": 4,
+    "target_length": 16,
+    "strategy": zstandard.STRATEGY_LAZY,
+    "write_content_size": 0,
+    "write_checksum": 0,
+    "write_dict_id": 0,
+}
 #: Only letters and bytes over 127 are evidence; the rest becomes a blank.
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -69,10 +69,11 @@ class _Coder:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
         self.coders = []
+        parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(compression_params=PARAMETERS)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=PARAMETERS))
+            content.precompute_compress(compression_params=parameters)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=parameters))
 
     def sizes(self, text: str) -> list[int]:
         data = _letters(text)
@@ -128,4 +129,4 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose language is not rejected, with the columns of ``docs``."""
     dictionaries = learn(docs.select("doc_id", "text", "lang"))
-    return identify(docs, dictionaries).where(~F.col("lang_rejected")).select(*docs.columns)
+    return identify(docs, dictionaries).where(~F.col("lang_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
