@@ -10,6 +10,7 @@ from cohortloom.llm.decontamination import op8_decontamination
 from cohortloom.llm.language import op6_language_id
 from cohortloom.llm.lines import op10_line_dedup
 from cohortloom.llm.near_duplicates import op2_near_duplicates
+from cohortloom.llm.pieces import op5_sentencepiece
 from cohortloom.llm.pii import op1_pii
 from cohortloom.llm.quality import op7_quality
 from cohortloom.llm.rules import op9_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,

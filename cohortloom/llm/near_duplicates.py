@@ -42,6 +42,8 @@ from cohortloom.session import materialize
 COORDINATES, MATCHES = 64, 32
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 4, 80
+#: Words of a shingle in the pipeline, whose stages take five.
+STAGE_SHINGLE = 5
 #: Rounds that compare with one node of each list before the remaining pairs are listed.
 STAR_ROUNDS = 2
 
@@ -275,3 +277,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of linked documents the one with the least id stays, with the columns of ``docs``.
+
+    Repeated rows are a group; null ids come last in theirs; documents without a word are in none and stay.
+    """
+    row = "_row" + "_" * max(map(len, docs.columns))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), STAGE_SHINGLE)
+    groups = found.select(F.col("doc_id").alias(row), "component_id").join(
+        rows.select(row, F.col("doc_id").cast("long").alias("own_id")), row
+    )
+    place = F.struct(F.col("own_id").isNull().alias("last"), "own_id", row)
+    first = groups.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
