@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.decontamination import op8_decontamination
 from cohortloom.llm.language import op6_language_id
+from cohortloom.llm.language_model import op3_language_model
 from cohortloom.llm.lines import op10_line_dedup
 from cohortloom.llm.near_duplicates import op2_near_duplicates
 from cohortloom.llm.pieces import op5_sentencepiece
@@ -19,6 +20,7 @@ from cohortloom.llm.toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_language_model": op3_language_model,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_id": op6_language_id,
