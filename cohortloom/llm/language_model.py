@@ -43,7 +43,7 @@ END_CLASS, NEW_CLASS = CLASSES, CLASSES + 1
 #: Rounds of exchange; each moves the words of one half.
 ROUNDS = 6
 #: Strength of the class frequencies in a transition, in tokens.
-PRIOR = 20.0
+PRIOR = 100.0
 #: Added to each count.
 ADDED = 0.1
 #: Words that are broadcast: 24 bytes each.
@@ -174,7 +174,10 @@ def _moved(pairs: DataFrame, classes: DataFrame, half: Column) -> DataFrame:
                 new.append(exchange(counts.value, own, dense[:width], dense[width : 2 * width], dense[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], names=["word", "to"])
 
-    to = vectors.where(F.col("word") != _END).join(classes, "word").select("word", "class", "slots", "ns").mapInArrow(run, "word long, to int")
+    words = vectors.where(F.col("word") != _END).join(classes, "word").select("word", "class", "slots", "ns")
+    # By number: the rows are few bytes and much work, which adaptive execution would put into one task.
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = words.repartition(tasks, "word").mapInArrow(run, "word long, to int")
     out = classes.join(to, "word", "left").select("word", F.coalesce("to", "class").alias("class"))
     return materialize(out, "classes")
 
