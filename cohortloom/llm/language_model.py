@@ -1,10 +1,11 @@
 """Language-model scores of a Brown class-based bigram model.
 
 Every word of the learning texts belongs to one of ``CLASSES`` classes. Exchange clustering moves
-words to the class that gains most log-likelihood of the class bigrams; the words' counts beside
-each class are joined up from the bigram table, so that each round is a few joins over all words.
-The words of one half are moved at a time, against the counts of the round before. A text is
-scored by transitions between classes and emissions of words:
+words to the class that gains most log-likelihood of the class bigrams. It runs in rounds over
+the ``CORE`` most frequent words, whose bigrams are counted once; the words of one half are moved
+at a time, against the counts of the round before, and all other words are one class meanwhile.
+Then every other word, however many there are, is moved from there to its best class, from
+its neighbours' classes. A text is scored by transitions between classes and emissions of words:
 
     P(w | v) = P(class w | class v) P(w | class w)
     P(d | c) = (N(c, d) + PRIOR p(d)) / (sum over d of N(c, d) + PRIOR)
@@ -30,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import blocks, flat, held_out, learnt_from, read_table, ready, signed, word_hashes, word_spans
+from cohortloom.llm.common import blocks, flat, held_out, learnt_from, mix, read_table, ready, signed, word_hashes, word_spans
 from cohortloom.session import materialize
 
 #: Classes that words are exchanged between.
@@ -46,9 +47,11 @@ ROUNDS = 6
 PRIOR = 100.0
 #: Added to each count.
 ADDED = 0.1
-#: Words that are broadcast: 24 bytes each.
-FREQUENT = 1 << 16
-#: Bigrams that a task adds up before it sends them on.
+#: Words that take part in every round: their bigrams are counted by number.
+CORE = 1 << 15
+#: Words that are broadcast for scoring: 18 bytes each.
+FREQUENT = 1 << 18
+#: Counts that a task adds up before it sends them on.
 HELD = 1 << 20
 
 #: Stands for the end of a text among the word hashes.
@@ -65,44 +68,66 @@ def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.insert(word_hashes(part, starts, ends), bounds[1:], END), bounds + np.arange(len(bounds))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pairs of (a, b, n) added up."""
-    a, b, n = (np.concatenate(column) for column in zip(*parts, strict=True))
-    order = np.lexsort((b, a))
-    a, b, n = a[order], b[order], n[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows that are equal but for the last column, a count, added up."""
+    *keys, n = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.lexsort(keys)
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return (*(k[new] for k in keys), np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n)
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """(a, b, n): how often token b follows a, over all of ``docs`` (text); stored."""
+def _counted(docs: DataFrame, keys: str, shared, rows) -> DataFrame:
+    """Counts of ``keys`` over all texts, added up in each task only; ``rows(words, before, behind, shared value)`` gives the keys of a block."""
+    names = [k.split()[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         held = 0
         for batch in batches:
             for words, bounds in tokens(batch.column("text")):
-                before = np.empty_like(words)
-                before[1:] = words[:-1]
-                before[bounds[:-1]] = END
-                parts.append(_summed([(before, words, np.ones(len(words), np.int64))]))
+                found = rows(words, bounds, shared and shared.value)
+                parts.append(_summed([(*found, np.ones(len(found[0]), np.int64))]))
                 held += len(parts[-1][0])
                 if held >= HELD:
                     parts = [_summed(parts)]
                     held = len(parts[0][0])
                     if held >= HELD // 2:
-                        yield _bigram_batch(parts[0])
+                        yield _batch(parts[0])
                         parts, held = [], 0
         if parts:
-            yield _bigram_batch(_summed(parts))
+            yield _batch(_summed(parts))
 
-    counted = docs.select("text").mapInArrow(run, "a long, b long, n long")
-    return materialize(counted.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
+    def _batch(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        arrays = [signed(c) if c.dtype == np.uint64 else pa.array(c) for c in part]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "n"])
 
+    return docs.select("text").mapInArrow(run, f"{keys}, n long")
 
-def _bigram_batch(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([signed(part[0]), signed(part[1]), pa.array(part[2])], names=["a", "b", "n"])
+
+def _behind(words: np.ndarray, bounds: np.ndarray, last: object) -> np.ndarray:
+    """What follows each token: the next one, ``last`` after an end."""
+    out = np.append(words[1:], words[:1])
+    out[bounds[1:] - 1] = last
+    return out
+
+
+def _before(words: np.ndarray, bounds: np.ndarray, first: object) -> np.ndarray:
+    """What each token follows: the one before, ``first`` at the beginning of a text."""
+    out = np.append(words[:1], words[:-1])
+    out[bounds[:-1]] = first
+    return out
+
+
+def _numbers(words: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Place of each word in ``core`` (ascending, END's is the one behind it), one more for all others."""
+    at = np.searchsorted(core, words)
+    if len(core):
+        at = np.where(core[np.minimum(at, len(core) - 1)] == words, at, len(core) + 1)
+    else:
+        at = np.ones(len(words), np.int64)
+    return np.where(words == END, len(core), at).astype(np.int32)
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
@@ -134,52 +159,101 @@ def exchange(counts: np.ndarray, own: int, right: np.ndarray, left: np.ndarray,
     gain += _entropy(crossing + right + left + loops) - _entropy(crossing)
     behind, before = rest.sum(1), rest.sum(0)
     gain -= _entropy(behind + n) - _entropy(behind) + _entropy(before + n) - _entropy(before)
-    gain = gain[:CLASSES]
-    best = int(np.argmax(gain))
+    best = int(np.argmax(gain[:CLASSES]))
+    if own >= CLASSES:
+        return best
     return best if gain[best] > gain[own] + 1e-9 * abs(gain[own]) else own
 
 
-def _matrix(pairs: DataFrame) -> np.ndarray:
-    """Class bigrams of ``pairs`` (class_a, class_b, n)."""
-    out = np.zeros((CLASSES + 1, CLASSES + 1))
-    for r in pairs.groupBy("class_a", "class_b").agg(F.sum("n").alias("n")).collect():  # at most (CLASSES + 1)^2 rows
-        out[r["class_a"], r["class_b"]] = r["n"]
-    return out
+WIDTH = CLASSES + 2
 
 
-def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    first = classes.select(F.col("word").alias("a"), F.col("class").alias("class_a"))
-    second = classes.select(F.col("word").alias("b"), F.col("class").alias("class_b"))
-    return pairs.join(first, "a").join(second, "b")
+def _matrix(numbered: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Class bigrams of ``numbered`` (a, b, n), whose words have ``classes``."""
+    shared = numbered.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WIDTH * WIDTH)
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            total += np.bincount(shared.value[a] * WIDTH + shared.value[b], n, WIDTH * WIDTH)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    out = np.zeros(WIDTH * WIDTH)
+    sums = numbered.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # at most WIDTH^2 rows
+        out[r["cell"]] = r["n"]
+    return out.reshape(WIDTH, WIDTH)
 
 
-def _moved(pairs: DataFrame, classes: DataFrame, half: Column) -> DataFrame:
-    """``classes`` (word, class) after the words for which ``half`` holds were exchanged; stored."""
-    known = materialize(_with_classes(pairs, classes), "classed")
-    counts = known.sparkSession.sparkContext.broadcast(_matrix(known))
-    width = CLASSES + 1
-    # A word's slots: class behind it, class before it, itself behind itself.
-    behind = known.select(F.col("a").alias("word"), F.when(F.col("a") == F.col("b"), 2 * width).otherwise(F.col("class_b")).alias("slot"), "n")
-    before = known.where("a <> b").select(F.col("b").alias("word"), (F.col("class_a") + width).alias("slot"), "n")
-    slots = behind.union(before).where(half).groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    vectors = slots.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))  # 2 width + 1 at most
+def _exchanged(vectors: DataFrame, counts: np.ndarray, classes: np.ndarray | None = None) -> DataFrame:
+    """(word, slots, ns) to (word, class): each word's best class; its own is that in ``classes``, else that of all others.
+
+    A slot is the class behind the word, ``WIDTH`` plus the class before it, or ``2 * WIDTH`` for the word itself behind it.
+    """
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((counts, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, classes = shared.value
         for batch in batches:
             new = []
-            columns = (batch.column(c).to_pylist() for c in ("class", "slots", "ns"))
-            for own, slots, ns in zip(*columns, strict=True):
-                dense = np.zeros(2 * width + 1)
-                dense[slots] = ns
-                new.append(exchange(counts.value, own, dense[:width], dense[width : 2 * width], dense[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], names=["word", "to"])
-
-    words = vectors.where(F.col("word") != _END).join(classes, "word").select("word", "class", "slots", "ns")
+            for word, slots, ns in zip(*(batch.column(c).to_pylist() for c in ("word", "slots", "ns")), strict=True):
+                dense = np.bincount(slots, ns, 2 * WIDTH + 1)
+                own = NEW_CLASS if classes is None else int(classes[word])
+                new.append(exchange(counts, own, dense[:WIDTH], dense[WIDTH : 2 * WIDTH], dense[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], names=["word", "class"])
+
     # By number: the rows are few bytes and much work, which adaptive execution would put into one task.
-    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    to = words.repartition(tasks, "word").mapInArrow(run, "word long, to int")
-    out = classes.join(to, "word", "left").select("word", F.coalesce("to", "class").alias("class"))
-    return materialize(out, "classes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.select("word", "slots", "ns").repartition(tasks, "word").mapInArrow(run, "word long, class int")
+
+
+def _round(numbered: DataFrame, classes: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """``classes`` of the core after the words that are ``moving`` were exchanged."""
+    counts = _matrix(numbered, classes)
+    shared = numbered.sparkSession.sparkContext.broadcast((classes, moving))
+    slots_of = 2 * WIDTH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, moving = shared.value
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            behind = np.where(a == b, 2 * WIDTH, classes[b])
+            after = moving[a]
+            back = moving[b] & (a != b)
+            keys = np.concatenate([a[after] * slots_of + behind[after], b[back] * slots_of + WIDTH + classes[a[back]]])
+            keys, at = np.unique(keys, return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n[after], n[back]]), len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys // slots_of), pa.array((keys % slots_of).astype(np.int32)), pa.array(sums)], names=["word", "slot", "n"]
+            )
+
+    slots = numbered.mapInArrow(run, "word long, slot int, n double").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    vectors = slots.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))  # 2 WIDTH + 1 at most
+    out = classes.copy()
+    for r in _exchanged(vectors, counts, classes).collect():  # CORE rows at most
+        out[r["word"]] = r["class"]
+    return out
+
+
+def _core_classes(docs: DataFrame, core: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the core, of the end and of all others, and the class bigrams under them."""
+    shared = docs.sparkSession.sparkContext.broadcast(core)
+
+    def rows(words: np.ndarray, bounds: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, ...]:
+        own = _numbers(words, core)
+        return _before(own, bounds, len(core)), own
+
+    pairs = _counted(docs, "a int, b int", shared, rows).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    numbered = materialize(pairs.selectExpr("cast(a as long) a", "cast(b as long) b", "n"), "core")
+    spread = mix(core)
+    classes = np.append((spread % np.uint64(CLASSES)).astype(np.int64), [END_CLASS, NEW_CLASS])
+    for k in range(rounds):
+        half = (mix(spread + np.uint64(k // 2)) & np.uint64(1)) == np.uint64(k % 2)
+        classes = _round(numbered, classes, np.append(half, [False, False]))
+    return classes, _matrix(numbered, classes)
 
 
 @dataclass(frozen=True)
@@ -197,22 +271,58 @@ class Model:
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """From ``docs`` (text): all of them, all their words."""
-    ready(docs.sparkSession)
-    pairs = bigrams(docs)
-    # Each token follows one: its count is the sum over what it follows.
-    words = materialize(pairs.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("n")), "words")
-    start = F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")
-    classes = materialize(words.select("word", F.when(F.col("word") == _END, END_CLASS).otherwise(start).alias("class")), "classes")
-    for k in range(rounds):
-        half = F.pmod(F.xxhash64("word", F.lit(k // 2)), F.lit(2)) == k % 2
-        classes = _moved(pairs, classes, half)
-    lexicon = materialize(words.join(classes, "word"), "lexicon")
-    size = CLASSES + 2
-    counts = np.zeros((size, size))
-    once = lexicon.select("word", (F.col("n") == 1).alias("once"))
-    marked = _with_classes(pairs, classes).join(once.toDF("a", "new_a"), "a").join(once.toDF("b", "new_b"), "b")
+    context = ready(docs.sparkSession).sparkContext
+    counted = _counted(docs, "word long", None, lambda words, bounds, _: (words,))
+    words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Words seen once are never in the core: they stand for new ones below.
+    top = words.where((F.col("n") > 1) & (F.col("word") != _END)).orderBy(F.desc("n"), "word").limit(CORE).select("word").collect()
+    core = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    classes, counts = _core_classes(docs, core, rounds)
+    shared = context.broadcast((core, classes))
+
+    def contexts(words: np.ndarray, bounds: np.ndarray, model: tuple) -> tuple[np.ndarray, ...]:
+        own = model[1][_numbers(words, model[0])].astype(np.int16)
+        other = own == NEW_CLASS
+        return words[other], _before(own, bounds, END_CLASS)[other], _behind(own, bounds, END_CLASS)[other]
+
+    # One shuffle by word serves both aggregations; a word has WIDTH^2 rows at most after the first.
+    around = _counted(docs, "word long, before short, behind short", shared, contexts).repartition("word")
+    around = materialize(around.groupBy("word", "before", "behind").agg(F.sum("n").alias("n")).groupBy("word").agg(
+        F.collect_list("before").alias("before"), F.collect_list("behind").alias("behind"), F.collect_list("n").alias("n")
+    ), "contexts")
+    slots = F.concat(F.transform("behind", lambda c: c.cast("int")), F.transform("before", lambda c: c.cast("int") + WIDTH))
+    vectors = around.select("word", slots.alias("slots"), F.concat("n", "n").alias("ns"))
+    others = materialize(_exchanged(vectors, counts), "others")
+    rare = materialize(others.join(words, "word").select("word", "n", "class"), "rare")
+
+    known = np.append(core, END).view(np.int64).tolist()
+    spark = docs.sparkSession
+    frame = pa.table({"word": pa.array(known, pa.int64()), "class": pa.array(classes[:-1], pa.int32())})
+    kept = spark.createDataFrame(frame).join(words, "word").select("word", "n", "class")
+    lexicon = materialize(kept.unionByName(rare), "lexicon")
+
+    # Class bigrams: of two core words by number, of a core word and another from its contexts, of two others by joins.
+    size = WIDTH
+    counts[NEW_CLASS] = counts[:, NEW_CLASS] = 0
+    flagged = rare.select("word", "class", (F.col("n") == 1).alias("once"))
+    each = around.select("word", F.explode(F.arrays_zip("before", "behind", "n")).alias("c")).select("word", "c.*").join(flagged, "word")
+    for r in each.groupBy("class", "once", "before", "behind").agg(F.sum("n").alias("n")).collect():  # at most 2 WIDTH^3 rows
+        for own in {r["class"], NEW_CLASS if r["once"] else r["class"]}:
+            if r["before"] != NEW_CLASS:
+                counts[r["before"], own] += r["n"]
+            if r["behind"] != NEW_CLASS:
+                counts[own, r["behind"]] += r["n"]
+
+    def other_pairs(words: np.ndarray, bounds: np.ndarray, model: tuple) -> tuple[np.ndarray, ...]:
+        other = _numbers(words, model[0]) == len(model[0]) + 1
+        both = other & _before(other, bounds, False)
+        return _before(words, bounds, END)[both], words[both]
+
+    pairs = _counted(docs, "a long, b long", shared, other_pairs)
+    first, second = flagged.toDF("a", "class_a", "new_a"), flagged.toDF("b", "class_b", "new_b")
+    marked = pairs.join(first, "a").join(second, "b")
     kinds = ["class_a", "class_b", "new_a", "new_b"]
-    for r in marked.groupBy(kinds).agg(F.sum("n").alias("n")).collect():  # at most 4 (CLASSES + 1)^2 rows
+    for r in marked.groupBy(kinds).agg(F.sum("n").alias("n")).collect():  # at most 4 CLASSES^2 rows
         for c in {r["class_a"], NEW_CLASS if r["new_a"] else r["class_a"]}:
             for d in {r["class_b"], NEW_CLASS if r["new_b"] else r["class_b"]}:
                 counts[c, d] += r["n"]
@@ -248,10 +358,11 @@ _FOUND = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
     """Sums over the frequent tokens of each text, and its other tokens with the classes beside them (-1: another such token)."""
     spark = docs.sparkSession
-    top = model.lexicon.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    table = sorted((int(np.int64(r["word"]).view(np.uint64)), r["n"], r["class"]) for r in top)
-    names = np.array([w for w, _, _ in table], np.uint64)
-    counts, kinds = np.array([n for _, n, _ in table], np.int64), np.array([c for _, _, c in table], np.int16)
+    top = model.lexicon.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    names = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names = names[order]
+    counts, kinds = top.column("n").to_numpy()[order], top.column("class").to_numpy().astype(np.int16)[order]
     shared = spark.sparkContext.broadcast((names, counts, kinds, (model.total, model.different, model.transitions, model.mass)))
     rest_kind = pa.list_(pa.struct([("place", pa.int64()), ("word", pa.int64()), ("before", pa.int32()), ("behind", pa.int32())]))
 
