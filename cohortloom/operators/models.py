@@ -96,11 +96,17 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000, penalis
 MAX_DEPTH = 30
 
 
+def _depth(max_depth: int) -> int:
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth is {max_depth}; trees end at {MAX_DEPTH}")
+    return max_depth
+
+
 def random_forest(n_estimators: int = 100, max_depth: int = 5, seed: int = 42) -> RandomForestClassifier:
-    """Deeper requests are met with the deepest tree Spark ML grows."""
+    """A depth beyond what Spark ML grows is an error."""
     return RandomForestClassifier(
         numTrees=n_estimators,
-        maxDepth=min(max_depth, MAX_DEPTH),
+        maxDepth=_depth(max_depth),
         featureSubsetStrategy="sqrt",
         seed=seed,
         cacheNodeIds=True,
@@ -123,7 +129,7 @@ def boosted_trees(
     gbt = GBTClassifier(
         maxIter=n_estimators,
         stepSize=learning_rate,
-        maxDepth=min(max_depth, MAX_DEPTH),
+        maxDepth=_depth(max_depth),
         subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample) if colsample < 1.0 else "all",
         minInfoGain=gamma,
@@ -143,7 +149,7 @@ def fit_boosted(train: DataFrame, id_: str, params: Mapping[str, object], holdou
 Space = Mapping[str, tuple[str, float, float, float | None]]
 
 # Search ranges.
-FOREST_SPACE: Space = {"n_estimators": ("int", 50, 500, 50), "max_depth": ("int", 5, 145, 10)}
+FOREST_SPACE: Space = {"n_estimators": ("int", 50, 500, 50), "max_depth": ("int", 5, 25, 10)}
 BOOSTED_SPACE: Space = {
     "n_estimators": ("int", 100, 1000, 1),
     "learning_rate": ("log", 0.01, 0.3, None),

@@ -23,9 +23,13 @@ def running_totals(
     Rows are range-partitioned by (keys, order), so a hot key is cut over many
     partitions. Only a key that began in an earlier partition needs an offset:
     at most one per partition, which bounds what is broadcast. ``order`` should
-    be unique within a key; keys must not be null.
+    be unique within a key; null keys are equal to each other.
     """
     keys = list(keys)
+    renamed = [f"_key{i}" for i in range(len(keys))]
+    same = F.lit(True)
+    for key, other in zip(keys, renamed):
+        same = same & F.col(key).eqNullSafe(F.col(other))
     placed = materialize(
         df.select("*", *[c.alias(f"_add_{n}") for n, c in sums.items()])
         .repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -43,7 +47,7 @@ def running_totals(
             .select("_edge.*")
             .distinct()
         )
-        pieces = placed.join(F.broadcast(edges), keys, "left_semi").groupBy(*keys, "_part").agg(*part_sums)
+        pieces = placed.join(F.broadcast(edges.toDF(*renamed)), same, "left_semi").groupBy(*keys, "_part").agg(*part_sums)
     else:
         pieces = placed.groupBy("_part").agg(*part_sums)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +59,8 @@ def running_totals(
     local = placed.select(
         *df.columns, "_part", *[F.sum(f"_add_{n}").over(within).alias(f"_run_{n}") for n in sums]
     )
-    return local.join(F.broadcast(offsets), [*keys, "_part"], "left").select(
+    others = F.broadcast(offsets.withColumnsRenamed(dict(zip([*keys, "_part"], [*renamed, "_at"]))))
+    return local.join(others, same & (F.col("_part") == F.col("_at")), "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[
             (F.col(f"_run_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n)

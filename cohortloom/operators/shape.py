@@ -133,8 +133,9 @@ def with_group_min(df: DataFrame, entity: str, time: str, name: str) -> DataFram
     Aggregated first and joined back, so that a hot entity is combined on the
     map side and its rows need not meet in one task.
     """
-    firsts = df.groupBy(entity).agg(F.min(time).alias(name))
-    return df.join(firsts, entity)
+    firsts = df.groupBy(F.col(entity).alias("_entity")).agg(F.min(time).alias(name))
+    # Rows without an entity are a group too.
+    return df.join(firsts, F.col(entity).eqNullSafe(F.col("_entity"))).drop("_entity")
 
 
 def group_window_min(df: DataFrame, entity: Sequence[str], time: str, name: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_draws_are_repeatable_and_in_range():
 
 
 def test_search_ranks_candidates(rows):
-    found = models.search(rows, "id", lambda n_estimators, max_depth: models.random_forest(n_estimators, max_depth), [{"n_estimators": 5, "max_depth": 2}, {"n_estimators": 5, "max_depth": 200}], folds=2)
+    found = models.search(rows, "id", lambda n_estimators, max_depth: models.random_forest(n_estimators, max_depth), [{"n_estimators": 5, "max_depth": 2}, {"n_estimators": 5, "max_depth": 5}], folds=2)
     assert len(found) == 2 and found[0][1] >= found[1][1]
 
 
@@ -99,3 +99,8 @@ def test_late_fusion(spark):
     m = result.metrics.first()
     assert result.scored.count() in range(79, 82)
     assert m["roc_auc"] > 0.9 and 0 < m["auprc"] <= 1 and m["C_best"] == result.best_c
+
+
+def test_depth_beyond_the_deepest_tree_is_an_error():
+    with pytest.raises(ValueError):
+        models.random_forest(5, 200)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators import hierarchy, ordering, splits
+from cohortloom.operators import hierarchy, ordering, shape, splits
 from cohortloom.session import materialize
 
 
@@ -93,3 +93,15 @@ def test_closure_with_cycle_and_two_parents(spark):
     roots = spark.createDataFrame([(1,), (100,)], "id long")
     got = sorted(r["id"] for r in hierarchy.descendants(edges, roots).collect())
     assert got == [1, 2, 3, 4, 5, *range(100, 131)]
+
+
+def test_null_keys_are_one_group(spark):
+    rows = spark.range(0, 30_000, 1, 8).selectExpr("cast(null as long) k", "id").union(spark.range(5).selectExpr("id % 2 k", "id"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.running_totals(rows, ["k"], [F.col("id")], {"n": F.lit(1)})
+        assert got.where("k is null").selectExpr("count(distinct n) d", "max(n) m").first() == (30_000, 30_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert shape.with_group_min(rows, "k", "id", "first").count() == 30_005
