@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortloom.functions.dates import plus_years
+from cohortloom.functions.dates import plus_years, plus_years_at
 from cohortloom.functions.text import site_key
 
 
@@ -49,9 +50,11 @@ def within_horizon(
 ) -> DataFrame:
     """Events from an entity's anchor up to ``years`` calendar years later, both ends included.
 
-    An equi join on the entity with the range as residual condition.
+    An equi join on the entity with the range as residual condition. The time of day counts
+    if the anchor is a timestamp.
     """
-    end = plus_years(F.col(anchor), years)
+    timed = isinstance(anchors.schema[anchor].dataType, (T.TimestampType, T.TimestampNTZType))
+    end = (plus_years_at if timed else plus_years)(F.col(anchor), years)
     return events.join(anchors.select(entity, anchor), entity).filter(F.col(time).between(F.col(anchor), end))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators import hierarchy, ordering, shape, splits
+from cohortloom.operators import hierarchy, joins, ordering, shape, splits
 from cohortloom.session import materialize
 
 
@@ -105,3 +105,18 @@ def test_null_keys_are_one_group(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert shape.with_group_min(rows, "k", "id", "first").count() == 30_005
+
+
+def test_null_labels_are_an_error(spark):
+    df = spark.range(100).selectExpr("id", "case when id < 90 then id % 2 end as y")
+    for split in (splits.split_stratified, splits.kfold_stratified):
+        assert split(df.where("y is not null"), "y", "id").count() == 90
+        with pytest.raises(Exception, match="null label"):
+            split(df, "y", "id").collect()
+
+
+def test_horizon_keeps_the_last_day_of_timestamps(spark):
+    anchors = spark.sql("select 1 as e, timestamp'2016-03-01 10:00:00' as t0")
+    events = spark.sql("select 1 as e, explode(array(timestamp'2020-03-01 08:00:00', timestamp'2020-03-01 10:00:01')) as t")
+    got = joins.within_horizon(events, anchors, "e", "t", "t0", 4).collect()
+    assert [r.t.hour * 100 + r.t.second for r in got] == [800]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 
+import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 
 from cohortloom import schemas, sources
@@ -15,6 +16,29 @@ def test_csv_by_name_with_column_list(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("1", "A, B", None)]
 
 
+def test_csv_files_with_other_headers(spark, tmp_path):
+    first, second = tmp_path / "a" / "p.csv", tmp_path / "b" / "p.csv"
+    for file, text in ((first, "Id,FIRST,LAST\n1,Ann,Lee\n"), (second, "LAST,Id\nPoe,2\n")):
+        file.parent.mkdir()
+        file.write_text(text)
+    df = sources.read_csv(spark, [str(first), str(second)], schemas.PATIENTS, ["Id", "FIRST", "LAST"])
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "Ann", "Lee"), ("2", None, "Poe")]
+    (first.parent / "q.csv").write_text("LAST,FIRST,Id\nPoe,Bob,2\n")
+    with pytest.raises(Exception, match="header"):
+        sources.read_csv(spark, str(first.parent), schemas.PATIENTS, ["Id", "FIRST", "LAST"]).collect()
+
+
+def test_keyed_files_by_name(spark, tmp_path):
+    header = "INDEX,VARIANT,CHROMOSOME,NAME,LOCATION,ANCESTRAL_ALLELE,ALLELE,VARIANT_ALLELE_LIST\n"
+    (tmp_path / "Abe_Long_77_dna.csv").write_text(header + "0,true,1,rs1,55,A,A>C,C\n")
+    row = sources.read_keyed_folder(spark, str(tmp_path), schemas.GENOTYPE_CALLS).first()
+    got = (row["PATIENT_ID"], str(row["CHROMOSOME"]), str(row["LOCATION"]), row["ANCESTRAL_ALLELE"], row["VARIANT_ALLELE_LIST"])
+    assert got == ("77", "1", "55", "A", "C")
+    (tmp_path / "Abe_Long_77_dna.csv").write_text("CHROMOSOME\n1\n")
+    with pytest.raises(ValueError, match="LOCATION"):
+        sources.read_keyed_folder(spark, str(tmp_path), schemas.GENOTYPE_CALLS)
+
+
 def test_zipped_tsv(spark, tmp_path):
     file = tmp_path / "s.tsv.gz"
     with gzip.open(file, "wt") as out:
