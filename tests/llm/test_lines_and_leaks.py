@@ -76,6 +76,26 @@ def test_removed_lines(docs):
     assert Counter((r.doc_id, tuple(r.removed)) for r in got) == Counter((i, tuple(n)) for (i, _), n in _removed().items())
 
 
+def test_lines_are_sets_of_words(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, f"All rights reserved.\n{long}\nyes"),
+        # A copy of few words, nine of ten words in another order, a word said twice, four words of five.
+        (2, f"ALL rights  reserved.\n{long.replace('one ', '')} other\n{' '.join(reversed(long.split()[1:]))}\nyes yes\nno\na b c d e"),
+        (3, "a b c d\nyes no\nrights\n \nall rights reserved. now"),
+    ]
+    got = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets, want = [], {}
+    for i, text in rows:
+        for number, line in enumerate(text.split("\n")):
+            own = set(line.lower().split())
+            if own and any(len(own & other) >= 0.8 * len(own | other) for other in sets):
+                want.setdefault(i, []).append(number)
+            sets += [own] if own else []
+    assert want == {2: [0, 1, 2, 3], 3: [0]}
+    assert {r.doc_id: list(r.removed) for r in got} == want
+
+
 def test_line_stage(spark, docs):
     got = lines.line_stage(spark, docs, "")
     assert got.columns == docs.columns
