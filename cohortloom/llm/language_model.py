@@ -2,10 +2,10 @@
 
 Every word of the learning texts belongs to one of ``CLASSES`` classes. Exchange clustering moves
 words to the class that gains most log-likelihood of the class bigrams. It runs in rounds over
-the ``CORE`` most frequent words, whose bigrams are counted once; the words of one half are moved
-at a time, against the counts of the round before, and all other words are one class meanwhile.
-Then every other word, however many there are, is moved from there to its best class, from
-its neighbours' classes. A text is scored by transitions between classes and emissions of words:
+all words seen ``CORE`` times or more, whose bigrams are counted once by the words' numbers; the
+words of one half are moved at a time, against the counts of the round before, and words seen
+once, which stand for new ones, are one class meanwhile. Then each of these is moved from there to
+its best class, from its neighbours' classes. A text is scored by transitions between classes and emissions of words:
 
     P(w | v) = P(class w | class v) P(w | class w)
     P(d | c) = (N(c, d) + PRIOR p(d)) / (sum over d of N(c, d) + PRIOR)
@@ -47,12 +47,14 @@ ROUNDS = 6
 PRIOR = 100.0
 #: Added to each count.
 ADDED = 0.1
-#: Words that take part in every round: their bigrams are counted by number.
-CORE = 1 << 15
+#: Times that a word is seen that takes part in every round. Hash and class of each are broadcast, 16 bytes.
+CORE = 2
 #: Words that are broadcast for scoring: 18 bytes each.
 FREQUENT = 1 << 18
 #: Counts that a task adds up before it sends them on.
 HELD = 1 << 20
+#: Rows of a batch of numbers, which are small, and words that are exchanged at once.
+NUMBERS, TOGETHER = 20_000, 256
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0xE4D0F7E87)
@@ -134,35 +136,49 @@ def _entropy(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(counts: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, loops: float) -> int:
-    """The class to which a word of class ``own`` moves.
+def exchange(counts: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, loops: np.ndarray) -> np.ndarray:
+    """The classes to which words of classes ``own`` move, each as if alone.
 
-    ``counts`` is the matrix of class bigrams, ``right`` and ``left`` the word's counts with the
+    ``counts`` is the matrix of class bigrams, a row of ``right`` and ``left`` a word's counts with the
     class behind and before it, in which the ``loops`` of the word with itself are left out.
     """
-    n = right.sum() + loops
-    if n == 0:
-        return own
-    rest = counts.copy()
-    rest[own] -= right
-    rest[:, own] -= left
-    rest[own, own] -= loops
+    k = np.arange(len(own))
+    n = right.sum(1) + loops
+
+    def gains(counts: np.ndarray, with_: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """What the cells of a word's neighbours gain in each class, all but the crossing."""
+        word, j = np.nonzero(with_)
+        each = np.arange(len(word))
+        x = with_[word, j]
+        cells = counts.T[j]
+        cells[each, own[word]] -= x
+        inner = np.flatnonzero(j == own[word])
+        cells[inner] -= across[word[inner]]
+        cells[inner, j[inner]] -= loops[word[inner]]
+        gain = _entropy(cells + x[:, None]) - _entropy(cells)
+        gain[each, j] = 0
+        total = np.zeros(with_.shape)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(first):
+            total[word[first]] = np.add.reduceat(gain, first)
+        return total
+
     # The word in class c: row c gets ``right``, column c gets ``left``, and their crossing gets both and the loops.
-    # Only what the word was seen beside changes.
-    j, i = np.flatnonzero(right), np.flatnonzero(left)
-    row = _entropy(rest[:, j] + right[j]) - _entropy(rest[:, j])
-    column = _entropy(rest[i] + left[i, None]) - _entropy(rest[i])
-    gain = row.sum(1) + column.sum(0)
-    gain[j] -= row[j, np.arange(len(j))]
-    gain[i] -= column[np.arange(len(i)), i]
-    crossing = np.diag(rest)
-    gain += _entropy(crossing + right + left + loops) - _entropy(crossing)
-    behind, before = rest.sum(1), rest.sum(0)
-    gain -= _entropy(behind + n) - _entropy(behind) + _entropy(before + n) - _entropy(before)
-    best = int(np.argmax(gain[:CLASSES]))
-    if own >= CLASSES:
-        return best
-    return best if gain[best] > gain[own] + 1e-9 * abs(gain[own]) else own
+    gain = gains(counts, right, left) + gains(counts.T, left, right)
+    crossing = np.repeat(np.diag(counts)[None], len(own), 0)
+    crossing[k, own] -= right[k, own] + left[k, own] + loops
+    gain += _entropy(crossing + right + left + loops[:, None]) - _entropy(crossing)
+    behind = counts.sum(1) - left
+    behind[k, own] -= n
+    before = counts.sum(0) - right
+    before[k, own] -= left.sum(1) + loops
+    for rest, add, still in ((behind, n, left), (before, left.sum(1) + loops, right)):
+        # Words that are beside it keep their own sums, whichever class it takes.
+        rest += still
+        gain -= _entropy(rest + add[:, None]) - _entropy(rest)
+    best = np.argmax(gain[:, :CLASSES], 1)
+    better = (own >= CLASSES) | (gain[k, best] > gain[k, own] + 1e-9 * np.abs(gain[k, own]))
+    return np.where((n > 0) & better, best, own)
 
 
 WIDTH = CLASSES + 2
@@ -199,11 +215,15 @@ def _exchanged(vectors: DataFrame, counts: np.ndarray, classes: np.ndarray | Non
         counts, classes = shared.value
         for batch in batches:
             new = []
-            for word, slots, ns in zip(*(batch.column(c).to_pylist() for c in ("word", "slots", "ns")), strict=True):
-                dense = np.bincount(slots, ns, 2 * WIDTH + 1)
-                own = NEW_CLASS if classes is None else int(classes[word])
-                new.append(exchange(counts, own, dense[:WIDTH], dense[WIDTH : 2 * WIDTH], dense[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], names=["word", "class"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                words, k = part.column("word").to_numpy(), np.arange(part.num_rows)
+                cells = np.repeat(k, part.column("slots").value_lengths().to_numpy()) * (2 * WIDTH + 1) + part.column("slots").flatten().to_numpy()
+                dense = np.bincount(cells, part.column("ns").flatten().to_numpy(), len(k) * (2 * WIDTH + 1)).reshape(len(k), -1)
+                own = np.full(len(k), NEW_CLASS) if classes is None else classes[words]
+                new.append(exchange(counts, own, dense[:, :WIDTH], dense[:, WIDTH : 2 * WIDTH], dense[:, -1]))
+            moved = np.concatenate(new) if new else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(moved, pa.int32())], names=["word", "class"])
 
     # By number: the rows are few bytes and much work, which adaptive execution would put into one task.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -233,8 +253,8 @@ def _round(numbered: DataFrame, classes: np.ndarray, moving: np.ndarray) -> np.n
     slots = numbered.mapInArrow(run, "word long, slot int, n double").groupBy("word", "slot").agg(F.sum("n").alias("n"))
     vectors = slots.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))  # 2 WIDTH + 1 at most
     out = classes.copy()
-    for r in _exchanged(vectors, counts, classes).collect():  # CORE rows at most
-        out[r["word"]] = r["class"]
+    moved = _exchanged(vectors, counts, classes).toArrow()  # a number and a class for each moving word
+    out[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
     return out
 
 
@@ -248,12 +268,15 @@ def _core_classes(docs: DataFrame, core: np.ndarray, rounds: int) -> tuple[np.nd
 
     pairs = _counted(docs, "a int, b int", shared, rows).groupBy("a", "b").agg(F.sum("n").alias("n"))
     numbered = materialize(pairs.selectExpr("cast(a as long) a", "cast(b as long) b", "n"), "core")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBERS))
     spread = mix(core)
     classes = np.append((spread % np.uint64(CLASSES)).astype(np.int64), [END_CLASS, NEW_CLASS])
     for k in range(rounds):
         half = (mix(spread + np.uint64(k // 2)) & np.uint64(1)) == np.uint64(k % 2)
         classes = _round(numbered, classes, np.append(half, [False, False]))
-    return classes, _matrix(numbered, classes)
+    counts = _matrix(numbered, classes)
+    ready(docs.sparkSession)
+    return classes, counts
 
 
 @dataclass(frozen=True)
@@ -275,8 +298,8 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     counted = _counted(docs, "word long", None, lambda words, bounds, _: (words,))
     words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     # Words seen once are never in the core: they stand for new ones below.
-    top = words.where((F.col("n") > 1) & (F.col("word") != _END)).orderBy(F.desc("n"), "word").limit(CORE).select("word").collect()
-    core = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    often = words.where((F.col("n") >= CORE) & (F.col("word") != _END)).select("word").toArrow()
+    core = np.sort(often.column("word").to_numpy().view(np.uint64))
     classes, counts = _core_classes(docs, core, rounds)
     shared = context.broadcast((core, classes))
 
@@ -295,10 +318,13 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     others = materialize(_exchanged(vectors, counts), "others")
     rare = materialize(others.join(words, "word").select("word", "n", "class"), "rare")
 
-    known = np.append(core, END).view(np.int64).tolist()
-    spark = docs.sparkSession
-    frame = pa.table({"word": pa.array(known, pa.int64()), "class": pa.array(classes[:-1], pa.int32())})
-    kept = spark.createDataFrame(frame).join(words, "word").select("word", "n", "class")
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, classes = shared.value
+        for batch in batches:
+            own = pa.array(classes[_numbers(batch.column("word").to_numpy().view(np.uint64), core)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), own], names=["word", "n", "class"])
+
+    kept = words.select("word", "n").mapInArrow(labelled, "word long, n long, class int").where(F.col("class") != NEW_CLASS)
     lexicon = materialize(kept.unionByName(rare), "lexicon")
 
     # Class bigrams: of two core words by number, of a core word and another from its contexts, of two others by joins.

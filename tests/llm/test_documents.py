@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -102,6 +103,45 @@ def test_language_model_base_and_counts(docs):
     assert key(again) == key(got)
 
 
+def test_exchange_takes_the_most_likely_class():
+    classes, width = language_model.CLASSES, language_model.WIDTH
+    draw = np.random.default_rng(3)
+    # Words 0 to 89 in a few classes, one of them that of all others.
+    text = np.append(draw.integers(0, 90, 3000) ** 2 // 90, [7, 7, 7])
+    own = np.append(draw.integers(0, 5, 88), [language_model.NEW_CLASS] * 2)
+
+    def likelihood(kinds):
+        counts = np.zeros((width, width))
+        np.add.at(counts, (kinds[text[:-1]], kinds[text[1:]]), 1)
+        parts = [counts, counts.sum(1), counts.sum(0)]
+        cells, behind, before = (float((x[x > 0] * np.log(x[x > 0])).sum()) for x in parts)
+        return counts, cells - behind - before
+
+    counts, _ = likelihood(own)
+    a, b = text[:-1], text[1:]
+    right, left, loops = np.zeros((90, width)), np.zeros((90, width)), np.zeros(90)
+    np.add.at(loops, a[a == b], 1)
+    np.add.at(right, (a[a != b], own[b[a != b]]), 1)
+    np.add.at(left, (b[a != b], own[a[a != b]]), 1)
+    got = language_model.exchange(counts, own, right, left, loops)
+    # The first and the last word of the text lack a neighbour; words not seen stay.
+    for w in set(np.unique(text)) - {text[0], text[-1]}:
+        every = [likelihood(np.where(np.arange(90) == w, c, own))[1] for c in range(classes)]
+        assert every[got[w]] == pytest.approx(max(every), abs=1e-6)
+    assert all(got[w] == own[w] for w in set(range(90)) - set(text.tolist()))
+
+
+def test_every_word_seen_twice_takes_part_in_the_rounds(spark, monkeypatch):
+    seen = []
+    inner = language_model._core_classes
+    monkeypatch.setattr(language_model, "_core_classes", lambda docs, core, rounds: seen.append(len(core)) or inner(docs, core, rounds))
+    # More words than the 32,768 that once were the limit, each twice.
+    rows = [(k, " ".join(f"v{w}" for w in range(k % 20, 40_000, 20)) + f" once{k}") for k in range(40)]
+    model = language_model.learn(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
+    assert seen == [40_000]
+    assert model.lexicon.count() == 40_000 + 40 + 1
+
+
 def test_pieces_come_back_and_best_paths_are_right(docs):
     vocabulary = pieces.load()
     assert all(r.round_trip for r in pieces.digests(docs, vocabulary).collect())
