@@ -93,11 +93,11 @@ class Leader:
         out = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
         return np.where(np.abs(z) <= L1, 0.0, out)
 
-    def update(self, at: np.ndarray, x: np.ndarray, y: int, weight: float) -> None:
+    def update(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
         at, x = np.append(at, DIMENSIONS), np.append(x, 1.0)
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-        g = weight * (p - y) * x
+        g = (p - y) * x
         step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - step * w
         self.n[at] += g * g
@@ -111,9 +111,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """
     known = labels.where(F.col("quality").isin(0, 1))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    # Each label weighs as in the table, however many of its rows the sample has.
-    heavy = {y: max(1.0, n / SAMPLE_ROWS) for y, n in counts.items()}
-    low = min(heavy.values(), default=1.0)
     taken = labelled_sample(docs, labels, "quality", SAMPLE_ROWS).select(
         "text", "quality", F.xxhash64("doc_id", F.lit("order")).alias("place")
     )
@@ -127,8 +124,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
             model = Leader()
             for _ in range(EPOCHS):
                 for (at, x), y in seen:
-                    model.update(at, x, y, min(4.0, heavy.get(y, 1.0) / low))
-            found = model.weights(slice(None)).astype(np.float32).tobytes()
+                    model.update(at, x, y)
+            weights = model.weights(slice(None))
+            taken = [sum(y == label for _, y in seen) for label in (0, 1)]
+            if all(taken):
+                # The sample may hold the labels in other shares than the table.
+                weights[DIMENSIONS] += np.log(counts[1] / counts[0] * taken[0] / taken[1])
+            found = weights.astype(np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["weights"])
 
     got = taken.coalesce(1).sortWithinPartitions("place", "text").mapInArrow(fit, "weights binary").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,18 @@ def test_texts_without_evidence(spark):
         assert len({r.score for r in rows if r.doc_id in (2, 3)}) == 1
 
 
+def test_quality_scores_follow_the_labels_shares_at_any_table_size(spark, monkeypatch):
+    # Texts that tell nothing; 20 labels of one kind to one of the other.
+    docs = spark.range(8400).selectExpr("id as doc_id", "concat('word', id % 7) as text")
+    labels = spark.range(8400).selectExpr("id as doc_id", "cast(id % 21 > 0 as int) as quality")
+    logits = []
+    for rows in (10_000, 300):
+        monkeypatch.setattr(quality, "SAMPLE_ROWS", rows)
+        p = quality.score(docs, quality.learn(docs, labels)).agg(F.avg("score")).first()[0]
+        logits.append(math.log(p / (1 - p)))
+    assert logits == pytest.approx([math.log(20)] * 2, abs=0.6)
+
+
 def test_languages_without_evidence(spark):
     rows = [
         (1, "the cat sat on the mat and looked at the dog in the house " * 5, "en"),
