@@ -716,7 +716,7 @@ def shapley_permutation(v: Views) -> DataFrame:
     rows = _vectors(v)
     model = models.fit_logistic(rows, max_iter=100)
     arrays = v.ml().select("id", F.col("embedding").alias("features"))
-    values = models.permutation_attributions(model, arrays, arrays, "id", 64, max_background=1)
+    values = models.permutation_attributions(model, arrays, models.column_means(arrays, "features", 64), "id", 64)
     return models.mean_absolute(values)
 
 

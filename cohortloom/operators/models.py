@@ -256,8 +256,13 @@ def linear_attributions(df: DataFrame, id_: str, array: str, coefficients: Seque
     return rows.select(id_, "feature", phi.alias("shapley"))
 
 
+def column_means(df: DataFrame, array: str, size: int) -> DataFrame:
+    """One row whose ``features`` are the means of the array's elements over all rows."""
+    return df.agg(F.array(*[F.avg(F.col(array)[i].cast("double")) for i in range(size)]).alias("features"))
+
+
 def permutation_attributions(
-    model: Model, rows: DataFrame, background: DataFrame, id_: str, size: int, seed: int = 42, max_background: int = 100
+    model: Model, rows: DataFrame, background: DataFrame, id_: str, size: int, seed: int = 42
 ) -> DataFrame:
     """Shapley values of the positive class by one permutation of the features and its reverse.
 
@@ -265,13 +270,11 @@ def permutation_attributions(
     the explained row; each step's change of the probability goes to the
     feature that moved. Averages are over the walk, its reverse and the
     background rows. ``rows`` and ``background`` have a ``features`` array.
-    The masker works on at most ``max_background`` background rows, those with
-    the smallest hash of their id; that bound makes them an array literal in
-    every row. Each walk is exploded into model inputs, so the model runs as an
-    ordinary distributed transform.
+    Every background row is used, and all are put beside each walk: for a large
+    population give its ``column_means``. Each walk is exploded into model
+    inputs, so the model runs as an ordinary distributed transform.
     """
-    chosen = background.orderBy(F.xxhash64(F.col(id_), F.lit(seed))).limit(max_background)
-    pool = materialize(chosen.agg(F.collect_list(F.col("features").cast("array<double>")).alias("_pool")), "pool")
+    pool = materialize(background.agg(F.collect_list(F.col("features").cast("array<double>")).alias("_pool")), "pool")
     positions = F.sequence(F.lit(0), F.lit(size - 1))
     order = F.transform(
         F.array_sort(

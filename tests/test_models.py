@@ -74,6 +74,22 @@ def test_attributions_add_up(spark, rows):
     assert phi.count() == 5 and wrong.count() == 0
 
 
+def test_attributions_use_the_whole_background(spark, rows):
+    model = models.fit_logistic(rows, max_iter=20)
+    arrays = rows.select("id", vector_to_array("features").alias("features"))
+    means = models.column_means(arrays, "features", 64)
+    want = np.array([r["features"] for r in arrays.collect()], float).mean(0)
+    assert means.first()["features"] == pytest.approx(want.tolist())
+    # More than 100 rows, the former limit.
+    background = arrays.limit(120)
+    assert background.count() == 120
+    phi = models.permutation_attributions(model, arrays.filter("id < 2"), background, "id", 64)
+    total = phi.groupBy("id").agg(F.sum("shapley").alias("s"))
+    prob = models.score(model, rows, ["id"]).select("id", F.col("prob_class_1").alias("f"))
+    expected = prob.join(background, "id").agg(F.avg("f")).first()[0]
+    assert total.join(prob, "id").filter(F.abs(F.col("s") - (F.col("f") - expected)) > 1e-9).count() == 0
+
+
 def test_permutation_equals_linear_form_for_a_linear_output(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 5.0])], "id int, features array<double>")
     got = {(r["id"], r["feature"]): r["shapley"] for r in models.linear_attributions(df, "id", "features", [2.0, -1.0]).collect()}
