@@ -79,9 +79,12 @@ def known_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
 def pivot_wide(
     df: DataFrame, keys: Sequence[str], name: str, value: str, columns: Sequence[str], how: str = "first"
 ) -> DataFrame:
-    """One column per listed name. The list saves the job that would look for the values."""
+    """One column per listed name. The list saves the job that would look for the values; a value of another name is an error."""
     aggregate = {"first": F.first, "avg": F.avg, "max": F.max, "sum": F.sum}[how]
-    return df.groupBy(*keys).pivot(name, list(columns)).agg(aggregate(F.col(value)))
+    known = F.col(name).isin(list(columns)) | F.col(value).isNull()
+    other = F.concat(F.lit(f"a value of {name} has no column: "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
+    checked = F.when(F.coalesce(known, F.lit(False)), F.col(name)).otherwise(F.raise_error(other).cast(df.schema[name].dataType))
+    return df.withColumn(name, checked).groupBy(*keys).pivot(name, list(columns)).agg(aggregate(F.col(value)))
 
 
 def unpivot_long(

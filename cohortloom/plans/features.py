@@ -131,7 +131,8 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
 
     A slice takes its own value, else that of the last slice before, else of
     the next one. A patient who never has the feature gets the population
-    medians of the forward-filled table. The indicator tells what was missing
+    medians of the forward-filled table; null for a feature that no slice of any
+    patient has. The indicator tells what was missing
     before any fill.
     """
     sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
@@ -141,6 +142,9 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
     listed = F.when(F.size("entries") > 0, F.struct(F.col("CODE").alias("feature"), F.col("entries")))
     nested = per_feature.groupBy("PATIENT").agg(F.collect_list(listed).alias("features"))
     nested = materialize(_with_label(nested, events), "x-temp")
+    # Features that are first seen after the last slice have rows too.
+    valued = daily.filter(F.col("value").isNotNull()).select("CODE").distinct()
+    every = materialize(valued.agg(F.array_sort(F.collect_set("CODE")).alias("all_features")), "feature-list").scalar()
 
     entries, here = F.col("f.entries"), F.col("slice")
     slices = F.explode(F.sequence(F.lit(1), F.lit(n_slices)))
@@ -158,7 +162,7 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
     no_entries = F.filter(F.get(F.col("features.entries"), F.lit(0)), lambda e: F.lit(False))
     blank = F.coalesce(no_entries, F.array().cast("array<struct<slice:int,sd:double,min:double,max:double,median:double>>"))
     dense = (
-        nested.withColumn("_all", _feature_list(nested))
+        nested.withColumn("_all", every)
         .withColumn("_blank", blank)
         .select(
             "PATIENT",
@@ -184,7 +188,7 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
         )
     )
     typical = medians.select("feature", *[F.col(s).alias(f"typical_{s}") for s in STATS])
-    return dense.join(typical, "feature").select(
+    return dense.join(typical, "feature", "left").select(
         "PATIENT", "CVD", "feature", "slice", *[F.coalesce(f"v.{s}", f"typical_{s}").alias(s) for s in STATS], "missing"
     )
 

@@ -268,3 +268,19 @@ def test_tags_of_result_names(spark):
     df = spark.createDataFrame([(n,) for n in ("X_agg", "Xtemp_EF", "X_temp_earlyfusion")], "data_type string")
     got = {r["data_type"]: (r["Data"], r["Fusion"]) for r in metrics.tag_results(df).collect()}
     assert got == {"X_agg": ("X_agg", "None"), "Xtemp_EF": ("X_temp", "Early Fusion"), "X_temp_earlyfusion": ("X_temp", "Early Fusion")}
+
+
+def test_pivot_of_an_unlisted_name_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "c", None)], "k int, name string, value double")
+    assert sorted(map(tuple, shape.pivot_wide(df, ["k"], "name", "value", ["a", "b"]).collect())) == [(1, 1.0, 2.0), (2, None, None)]
+    with pytest.raises(Exception, match="has no column: b"):
+        shape.pivot_wide(df, ["k"], "name", "value", ["a"]).collect()
+
+
+def test_a_feature_first_seen_after_the_last_slice_has_rows(spark):
+    days = [(1, "2020-01-01", "early", 1.0), (1, "2023-12-20", "late", 2.0), (2, "2020-01-01", "early", 3.0)]
+    daily = spark.createDataFrame(days, "PATIENT int, DATE string, CODE string, value double").withColumn("DATE", F.to_date("DATE"))
+    events = spark.createDataFrame([], "PATIENT int, first_cvd_date date")
+    rows = features.x_temp(daily, events, n_slices=2).collect()
+    assert sorted((r.PATIENT, r.feature, r.slice) for r in rows) == [(p, f, n) for p in (1, 2) for f in ("early", "late") for n in (1, 2)]
+    assert all(r.median is None and r.missing == 1 for r in rows if r.feature == "late")
