@@ -640,7 +640,7 @@ def fit_random_forest(v: Views) -> DataFrame:
 @query
 def fit_gbt(v: Views) -> DataFrame:
     rows = _vectors(v)
-    model = models.fit_boosted(rows, "id", {"n_estimators": 10, "max_depth": 3})
+    model = models.fit_boosted(rows, "id", {"n_estimators": 100, "max_depth": 3})
     return models.score(model, rows, ["id", "label"])
 
 
@@ -655,7 +655,7 @@ def tune_search(v: Views) -> DataFrame:
 
 @query
 def cv_report(v: Views) -> DataFrame:
-    return models.cross_validated_report(_vectors(v), "id", lambda train: models.fit_logistic(train, max_iter=100), folds=5)
+    return models.cross_validated_report(_vectors(v), "id", lambda train: models.fit_logistic(train, max_iter=100))
 
 
 @query

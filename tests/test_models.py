@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from cohortloom.catalog.queries import QUERIES
 from cohortloom.catalog.views import Views
 from cohortloom.operators import models, splits
 from cohortloom.plans import fusion
@@ -120,3 +121,7 @@ def test_late_fusion(spark):
 def test_depth_beyond_the_deepest_tree_is_an_error():
     with pytest.raises(ValueError):
         models.random_forest(5, 200)
+
+
+def test_registered_report_has_ten_folds(spark, folder):
+    assert sorted(r["fold"] for r in QUERIES["cv_report"](spark, folder).collect()) == [-1, *range(10)]
