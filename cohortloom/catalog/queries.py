@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,11 @@ from cohortloom.operators import (
     sets,
     shape,
     splits,
+    tuning,
     windows,
 )
 from cohortloom.operators.aggregates import STATS
-from cohortloom.plans import cohort, features, fusion, genotype, profiling, risk
+from cohortloom.plans import cohort, features, fusion, genotype, modelling, profiling, risk
 from cohortloom.session import fresh_path, materialize, prepare
 from cohortloom.sources import read_keyed_folder, read_parquet, stack_by_name
 
@@ -389,6 +392,15 @@ def pivot_genotype(v: Views) -> DataFrame:
     return genomics.genotype_matrix(dosages, snp_names())
 
 
+@query
+def sparse_genotype(v: Views) -> DataFrame:
+    """The genotype matrix without a column per SNP: places in a distributed index and dosages."""
+    dosages = materialize(genomics.dosage(v.calls()), "dosage")
+    vectors = genomics.genotype_vectors(dosages, genomics.snp_index(dosages))
+    cells = vectors.select("PATIENT_ID", F.explode(F.arrays_zip("positions", "dosages")).alias("c"))
+    return cells.select("PATIENT_ID", F.col("c.positions").alias("snp_index"), F.col("c.dosages").alias("dosage"))
+
+
 @query
 def explode_alleles(v: Views) -> DataFrame:
     return shape.explode_alleles(v.calls()).select("PATIENT_ID", "SNP_ID", F.col("HAS_VARIANT").cast("int").alias("has_variant"))
@@ -646,11 +658,7 @@ def fit_gbt(v: Views) -> DataFrame:
 
 @query
 def tune_search(v: Views) -> DataFrame:
-    rows = _vectors(v)
-    candidates = models.draw(models.LOGISTIC_SPACE, 3)
-    n = rows.count()
-    ranked = models.search(rows, "id", lambda c: models.logistic(n * 4 // 5, c, 100), candidates, folds=5)
-    return v.spark.createDataFrame([(float(c["c"]), m) for c, m in ranked], "c double, mean_f1 double")
+    return tuning.history(v.spark, tuning.tune_logistic(_vectors(v), "id", trials=30, folds=10))
 
 
 @query
@@ -758,6 +766,12 @@ def pipe_early_fusion(v: Views) -> DataFrame:
     return features.early_fusion(features.x_agg_wide(_x_agg(v), FEATURES), genotypes)
 
 
+@query
+def pipe_early_fusion_temp(v: Views) -> DataFrame:
+    genotypes = genomics.genotype_matrix(genomics.dosage(v.calls()).withColumn("dosage", F.col("dosage").cast("double")), snp_names())
+    return features.early_fusion(features.x_temp_flat(features.x_temp(_daily(v), _first_events(v)), FEATURES), genotypes)
+
+
 def _prs(v: Views) -> DataFrame:
     return genotype.polygenic_scores(v.calls(), v.sumstats())
 
@@ -828,9 +842,76 @@ def pipe_late_fusion_table(v: Views) -> DataFrame:
     return _late_fusion(v)
 
 
+def _record_matrices(v: Views) -> dict[str, DataFrame]:
+    """Feature arrays of both feature tables, from one set of daily values."""
+    daily, events = materialize(_daily(v), "daily"), materialize(_first_events(v), "events")
+    tables = {"scores_x_agg": features.x_agg(daily, events), "scores_x_temp": features.x_temp(daily, events)}
+    return {n: materialize(features.feature_arrays(materialize(t, n)), f"{n}-arrays") for n, t in tables.items()}
+
+
+def _record_model():
+    return models.random_forest(100, 10)
+
+
+@query
+def pipe_record_scores(v: Views) -> DataFrame:
+    """Held-out scores of the genotyped by models of everyone else, for both feature tables."""
+    parts = []
+    for name, matrix in _record_matrices(v).items():
+        scores = fusion.record_scores(matrix, v.genotyped(), _record_model())
+        p = F.col("prob_class_1")
+        sound = p.between(0.0, 1.0) & (F.abs(F.col("prob_class_0") + p - 1.0) < 1e-9) & (F.col("predicted") == (p >= 0.5).cast("int"))
+        parts.append(scores.select(F.lit(name).alias("dataset"), "PATIENT", "CVD", sound.alias("is_probability")))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def pipe_late_fusion(v: Views) -> DataFrame:
-    return fusion.fit_fusion(_late_fusion(v), "scores_x_agg", trials=2, folds=5).metrics
+    calls = v.calls().join(v.genotyped().withColumnRenamed("PATIENT", "PATIENT_ID"), "PATIENT_ID", "left_semi")
+    prs = genotype.polygenic_scores(calls, v.sumstats())
+    results = fusion.late_fusion(_record_matrices(v), v.genotyped(), prs, _record_model())
+    one, two = (r.metrics for r in results.values())
+    return one.unionByName(two)
+
+
+def _matrices(v: Views) -> dict[str, DataFrame]:
+    daily, events = materialize(_daily(v), "daily"), materialize(_first_events(v), "events")
+    x_agg, x_temp = (materialize(build(daily, events), "x") for build in (features.x_agg, features.x_temp))
+    return modelling.feature_matrices(x_agg, x_temp, materialize(genomics.dosage(v.calls()), "dosage"))
+
+
+@query
+def pipe_model_matrices(v: Views) -> DataFrame:
+    """Rows and widths of the four model inputs, and the sum of all their numbers."""
+    parts = [
+        m.groupBy(F.lit(name).alias("data_type"), F.size("features").alias("n_features")).agg(
+            F.count("*").alias("n_rows"),
+            F.sum("CVD").alias("n_positive"),
+            F.sum(F.aggregate("features", F.lit(0.0), lambda t, x: t + x)).alias("total"),
+        )
+        for name, m in _matrices(v).items()
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("total", F.round("total", 2))
+
+
+@query
+def pipe_model_report(v: Views) -> DataFrame:
+    """Trained and tested on the four matrices: forests of fixed size, logistic models by a full study on the
+    patient-level pair and of fixed strength on the sliced pair."""
+    every, kinds = _matrices(v), modelling.KINDS
+    forest = replace(kinds["forest"], tune=None, fixed={"n_estimators": 100, "max_depth": 10})
+    fixed = replace(kinds["logistic"], tune=None, fixed={"c": 1.0})
+    agg = {n: m for n, m in every.items() if "agg" in n}
+    temp = {n: m for n, m in every.items() if "agg" not in n}
+    searched = modelling.train_and_test(agg, {"logistic": kinds["logistic"], "forest": forest})
+    return searched.unionByName(modelling.train_and_test(temp, {"logistic": fixed, "forest": forest}))
+
+
+@query
+def pipe_logreg_report(v: Views) -> DataFrame:
+    """Ten folds, their means and the final model's test metrics on the four matrices."""
+    parts = [modelling.logistic_report(m)[0].withColumn("data_type", F.lit(n)) for n, m in _matrices(v).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

@@ -157,6 +157,8 @@ _TABLES: dict[str, str] = {
     "pivot_genotype": pivot(
         "PATIENT_ID", "v_dosage", {s: f"max(case when SNP_ID = '{s}' then cast(dosage as double) end)" for s in snp_names()}
     ),
+    "sparse_genotype": """select PATIENT_ID, i.snp_index, dosage from v_dosage join (select SNP_ID,
+        cast(row_number() over (order by SNP_ID) - 1 as int) as snp_index from (select distinct SNP_ID from v_dosage)) i using (SNP_ID)""",
     "explode_alleles": "select PATIENT_ID, SNP_ID, cast(HAS_VARIANT as int) as has_variant from v_alleles",
     "entity_batches": """select PATIENT, cast(floor((row_number() over (order by PATIENT) - 1) / 500.0) as int) + 1 as batch
         from (select distinct PATIENT from v_obs)""",
@@ -258,6 +260,20 @@ _TABLES: dict[str, str] = {
         for s in ("sd", "min", "max", "median", "missing")
     )
     + " from v_xtemp group by 1, 2",
+    "pipe_early_fusion_temp": "with x as (select PATIENT, CVD, "
+    + ", ".join(
+        (
+            f"""max(case when feature = '{f}' and slice = {n} then missing end) as "{f}_missing_slice{n}" """
+            if s == "missing"
+            else r(f"max(case when feature = '{f}' and slice = {n} then \"{s}\" end)", f"{f}_{s}_slice{n}")
+        )
+        for n in SLICES
+        for f in FEATURES
+        for s in ("sd", "min", "max", "median", "missing")
+    )
+    + " from v_xtemp group by 1, 2), g as ("
+    + pivot("PATIENT_ID", "v_dosage", {s: f"max(case when SNP_ID = '{s}' then cast(dosage as double) end)" for s in snp_names()})
+    + ") select x.*, g.* exclude (PATIENT_ID) from x join g on x.PATIENT = g.PATIENT_ID",
     "pipe_early_fusion": "with x as (select PATIENT, CVD, "
     + ", ".join(
         (
@@ -282,6 +298,19 @@ _TABLES: dict[str, str] = {
         case when RACE = 'black' then 1 when RACE in ('white', 'asian', 'other', 'native') then 0 end as "BINARY RACE",
         {r('ln(AGE)', 'Log Age')}, {r('ln("Total Cholesterol")', 'Log Total Cholesterol')}, {r('ln("HDL-C")', 'Log HDL-C')},
         {r('ln("Systolic Blood Pressure")', 'Log Systolic BP')}, Diabetes, Smoker, CVD from factors f left join labels l on f.PATIENT = l.PATIENT""",
+    "pipe_record_scores": f"""with {_LABELS}, sets as (select unnest(['scores_x_agg', 'scores_x_temp']) as dataset)
+        select dataset, PATIENT, CVD, true as is_probability from labels join customer on c_custkey = PATIENT cross join sets
+        where c_mktsegment in ('BUILDING', 'MACHINERY') and PATIENT in (select PATIENT from v_xagg)""",
+    "pipe_model_matrices": """with cells as (
+            select 'X_agg' as kind, PATIENT, CVD, unnest([sd, "min", "max", "median", missing]) as x from v_xagg
+            union all select 'X_temp_flat', PATIENT, CVD, unnest([sd, "min", "max", "median", missing]) from v_xtemp),
+        own as (select kind, PATIENT, any_value(CVD) as CVD, sum(x) as t, count(*) as n from cells group by 1, 2),
+        g as (select PATIENT_ID, sum(dosage) as t from v_dosage group by 1),
+        wide as (select *, case kind when 'X_agg' then 'X_agg_earlyfusion' else 'X_temp_earlyfusion' end as fused from own),
+        all_ as (select kind as data_type, PATIENT, CVD, t, n from wide union all select fused, PATIENT, CVD, wide.t + g.t,
+            n + (select count(distinct SNP_ID) from v_dosage) from wide join g on PATIENT = PATIENT_ID)
+        select data_type, cast(n as int) as n_features, count(*) as n_rows, cast(sum(CVD) as bigint) as n_positive,
+            round(sum(t), 2) as total from all_ group by 1, 2""",
     "pipe_late_fusion_table": f"""with {_LABELS} select l.PATIENT,
         {r("cast('0x' || substr(md5('7|' || l.PATIENT), 1, 13) as bigint) / 4503599627370496.0::double", 'EHR_CVD_score')},
         {r('"PRS_1e-5"', 'PRS')}, CVD from labels l join v_prs s on l.PATIENT = s.PATIENT_ID""",

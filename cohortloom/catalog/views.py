@@ -82,6 +82,11 @@ class Views:
             race.alias("RACE"),
         )
 
+    def genotyped(self) -> DataFrame:
+        """Patients with genotype files: two of the five market segments."""
+        chosen = self.table("customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+        return chosen.select(F.col("c_custkey").alias("PATIENT"))
+
     def codes_a(self) -> DataFrame:
         listed = self.table("part").filter((F.col("p_size") == 1) & F.col("p_type").isin("PROMO", "LARGE", "SMALL"))
         return listed.select(F.col("p_partkey").cast("string").alias("code"))

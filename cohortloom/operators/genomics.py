@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.ordering import row_numbers
 from cohortloom.operators.shape import explode_alleles, pivot_wide
+from cohortloom.session import materialize
 
 # Significance cut-offs and the names of their score columns.
 PRS_CUTOFFS: dict[str, float | None] = {"PRS_0.05": 0.05, "PRS_1e-5": 1e-5, "PRS_5e-8": 5e-8, "PRS_all": None}
@@ -29,10 +31,17 @@ def genotype_matrix(dosages: DataFrame, snps: Sequence[str], entity: str = "PATI
     return pivot_wide(dosages, [entity], "SNP_ID", "dosage", sorted(snps))
 
 
+def snp_index(dosages: DataFrame) -> DataFrame:
+    """(SNP_ID, snp_index from 0): places of all SNPs in sorted order, numbered over range partitions; stored."""
+    numbered = row_numbers(dosages.select("SNP_ID").distinct(), [], [F.col("SNP_ID")], "place")
+    return materialize(numbered.select("SNP_ID", (F.col("place") - 1).cast("int").alias("snp_index")), "snp-index")
+
+
 def genotype_vectors(dosages: DataFrame, index: DataFrame, entity: str = "PATIENT_ID") -> DataFrame:
-    """Sparse form for many SNPs: arrays of positions and dosages per entity.
+    """Sparse form for many SNPs: (entity, positions, dosages), arrays ascending by position.
 
-    ``index`` is a table (SNP_ID, snp_index).
+    ``index`` is the table of ``snp_index``. There is one row per entity and no column per SNP, so that a plan
+    does not grow with the number of SNPs. A dosage of zero is kept: it is a call, not a gap.
     """
     pairs = F.array_sort(F.collect_list(F.struct("snp_index", "dosage")))
     return (
@@ -43,6 +52,24 @@ def genotype_vectors(dosages: DataFrame, index: DataFrame, entity: str = "PATIEN
     )
 
 
+def with_genotype(matrix: DataFrame, vectors: DataFrame, entity: str = "PATIENT", other: str = "PATIENT_ID") -> DataFrame:
+    """Early fusion of feature arrays with sparse genotypes: entities with both, genotype columns beside the features."""
+    return matrix.join(vectors.withColumnRenamed(other, entity), entity)
+
+
+def dense_features(fused: DataFrame, n_snps: int, keep: Sequence[str] = ("PATIENT", "CVD")) -> DataFrame:
+    """One array of record features and all dosages, for models that take dense rows; a SNP without a call is zero.
+
+    Calls are spread between the gaps of ascending positions, so the work is in proportion to the array.
+    """
+    ends = F.concat(F.col("positions"), F.array(F.lit(n_snps)))
+    starts = F.concat(F.array(F.lit(-1)), F.col("positions"))
+    gaps = F.zip_with(ends, starts, lambda e, s: F.array_repeat(F.lit(0.0), e - s - 1))
+    values = F.concat(F.transform("dosages", lambda d: F.array(d.cast("double"))), F.array(F.array().cast("array<double>")))
+    dense = F.flatten(F.zip_with(gaps, values, lambda g, v: F.concat(g, v)))
+    return fused.select(*keep, F.concat(F.col("features").cast("array<double>"), dense).alias("features"))
+
+
 def weighted_scores(
     dosages: DataFrame,
     weights: DataFrame,

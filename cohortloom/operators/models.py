@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -22,7 +22,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.operators.boosting import PATIENCE, Boosted, fit_with_patience
 from cohortloom.operators.metrics import binary_metrics
+from cohortloom.operators.study import Space
 from cohortloom.operators.splits import kfold_stratified, split_stratified
 from cohortloom.session import materialize
 
@@ -41,9 +43,9 @@ def from_arrays(df: DataFrame, array: str, label: str, keep: Sequence[str] = ())
 class PenalisedLogistic(Estimator, HasRegParam, HasMaxIter, HasTol):
     """Logistic regression without a free intercept, on features that end in a constant 1.
 
-    Spark ML gives a feature without variance no weight. So half of the
-    training rows are mirrored: features negated and label exchanged. Each
-    row's loss stays what it was, and the constant now varies.
+    Spark ML gives a feature without variance no weight. So every training row
+    is there twice with half its weight, once mirrored: features negated and
+    label exchanged. Each row's loss stays what it was, and the constant now varies.
     """
 
     def __init__(self, reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6):
@@ -53,11 +55,9 @@ class PenalisedLogistic(Estimator, HasRegParam, HasMaxIter, HasTol):
 
     def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
         x = vector_to_array(F.col("features"))
-        mirrored = F.pmod(F.xxhash64(x), F.lit(2)) == 1
-        rows = dataset.select(
-            F.when(mirrored, 1.0 - F.col("label")).otherwise(F.col("label")).alias("label"),
-            array_to_vector(F.when(mirrored, F.transform(x, lambda v: -v)).otherwise(x)).alias("features"),
-        )
+        mirror = F.struct((1.0 - F.col("label")).alias("label"), F.transform(x, lambda v: -v).alias("x"))
+        both = dataset.select(F.explode(F.array(F.struct(F.col("label"), x.alias("x")), mirror)).alias("r"))
+        rows = both.select("r.label", array_to_vector("r.x").alias("features"), F.lit(0.5).alias("half"))
         return LogisticRegression(
             regParam=self.getRegParam(),
             elasticNetParam=0.0,
@@ -65,6 +65,7 @@ class PenalisedLogistic(Estimator, HasRegParam, HasMaxIter, HasTol):
             maxIter=self.getMaxIter(),
             tol=self.getTol(),
             fitIntercept=False,
+            weightCol="half",
         ).fit(rows)
 
 
@@ -122,11 +123,10 @@ def boosted_trees(
     colsample: float = 1.0,
     gamma: float = 0.0,
     min_child_weight: int = 1,
-    validation: str | None = None,
     seed: int = 42,
 ) -> GBTClassifier:
-    """Gradient boosted trees; ``validation`` names the 0/1 column of early-stopping rows."""
-    gbt = GBTClassifier(
+    """Gradient boosted trees of all rounds; ``boosting`` stops them early."""
+    return GBTClassifier(
         maxIter=n_estimators,
         stepSize=learning_rate,
         maxDepth=_depth(max_depth),
@@ -136,19 +136,25 @@ def boosted_trees(
         minInstancesPerNode=min_child_weight,
         seed=seed,
     )
-    return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
-def fit_boosted(train: DataFrame, id_: str, params: Mapping[str, object], holdout: float = 0.15, seed: int = 42) -> Model:
-    """Final boosted fit that stops early on a stratified part of the training rows."""
-    parts = split_stratified(train, "label", id_, holdout, seed, "_part").withColumn("_valid", F.col("_part") == "test")
-    return boosted_trees(**params, validation="_valid", seed=seed).fit(parts)
+def boosted_with_patience(
+    train: DataFrame, id_: str, params: Mapping[str, object], holdout: float = 0.15, seed: int = 42, patience: int = PATIENCE
+) -> Boosted:
+    """Final boosted fit that stops by a stratified part of the training rows, with the losses it stopped by."""
+    parts = materialize(split_stratified(train, "label", id_, holdout, seed, "_part"), "boosted")
+    grown, checked = parts.filter("_part = 'train'"), parts.filter("_part = 'test'")
+    return fit_with_patience(grown, checked, partial(boosted_trees, seed=seed), params, patience)
+
 
+def fit_boosted(
+    train: DataFrame, id_: str, params: Mapping[str, object], holdout: float = 0.15, seed: int = 42, patience: int = PATIENCE
+) -> Model:
+    """The ensemble of ``boosted_with_patience``."""
+    return boosted_with_patience(train, id_, params, holdout, seed, patience).model
 
-# A search space maps a name to (kind, low, high, step).
-Space = Mapping[str, tuple[str, float, float, float | None]]
 
-# Search ranges.
+# Search ranges. A forest's depth ends at the last step below what Spark ML grows.
 FOREST_SPACE: Space = {"n_estimators": ("int", 50, 500, 50), "max_depth": ("int", 5, 25, 10)}
 BOOSTED_SPACE: Space = {
     "n_estimators": ("int", 100, 1000, 1),
@@ -163,7 +169,7 @@ LOGISTIC_SPACE: Space = {"c": ("log", 1e-4, 10.0, None)}
 
 
 def draw(space: Space, trials: int, seed: int = 42) -> list[dict[str, float | int]]:
-    """Seeded random draws from a search space."""
+    """Seeded random draws from a search space, for searches without a study."""
     rng = random.Random(seed)
     out = []
     for _ in range(trials):
@@ -179,31 +185,42 @@ def draw(space: Space, trials: int, seed: int = 42) -> list[dict[str, float | in
     return out
 
 
-def search(
-    train: DataFrame,
-    id_: str,
+def fold_scores(
+    folded: DataFrame,
     estimator: Callable[..., object],
     candidates: Sequence[Mapping[str, object]],
     folds: int = 10,
-    seed: int = 42,
     parallelism: int = 4,
-) -> list[tuple[dict[str, object], float]]:
-    """Candidates with their mean F1 over stratified folds, best first.
+) -> list[float]:
+    """Mean F1 of each candidate over the folds of (label, features, fold).
 
     ``estimator`` makes a Spark ML estimator from one candidate. All candidates
     share one base estimator and go through one cross validator, which fits
     them in parallel on the cluster.
     """
-    folded = materialize(kfold_stratified(train, "label", id_, folds, seed), "folds").select("label", "features", "fold")
     made = [estimator(**c) for c in candidates]
     base = made[0]
     maps = [{base.getParam(p.name): v for p, v in m.extractParamMap().items()} for m in made]
     evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(
         estimator=base, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism
-    ).fit(folded)
-    ranked = sorted(zip(candidates, cv.avgMetrics), key=lambda pair: -pair[1])
-    return [(dict(c), float(m)) for c, m in ranked]
+    ).fit(folded.select("label", "features", "fold"))
+    return [float(m) for m in cv.avgMetrics]
+
+
+def search(
+    train: DataFrame,
+    id_: str,
+    estimator: Callable[..., object],
+    candidates: Sequence[Mapping[str, object]],
+    folds: int = 10,
+    seed: int = 42,
+    parallelism: int = 4,
+) -> list[tuple[dict[str, object], float]]:
+    """Candidates with their mean F1 over stratified folds, best first."""
+    folded = materialize(kfold_stratified(train, "label", id_, folds, seed), "folds")
+    scores = fold_scores(folded, estimator, candidates, folds, parallelism)
+    return sorted(((dict(c), m) for c, m in zip(candidates, scores, strict=True)), key=lambda pair: -pair[1])
 
 
 def score(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:

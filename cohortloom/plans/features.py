@@ -201,11 +201,16 @@ def x_temp_flat(long: DataFrame, features: Sequence[str], n_slices: int = 8) ->
 
 
 def feature_arrays(long: DataFrame, keys: Sequence[str] = ("PATIENT", "CVD")) -> DataFrame:
-    """Model input straight from the long table: one array per patient in order of feature, slice, statistic."""
+    """Model input straight from the stored long table: one array per patient in order of feature, slice, statistic.
+
+    A feature that is null everywhere (first seen after the last slice) is no input of a model and is left out.
+    """
     place = [c for c in ("feature", "slice") if c in long.columns]
+    known = long.groupBy("feature").agg(F.count("median").alias("n")).filter("n > 0").select("feature")
     cell = F.struct(*place, F.array(*[F.col(s).cast("double") for s in ALL_STATS]).alias("v"))
     ordered = F.array_sort(F.collect_list(cell))
-    return long.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda c: c["v"])).alias("features"))
+    kept = joins.keep_members(long, known, ["feature"])
+    return kept.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda c: c["v"])).alias("features"))
 
 
 def early_fusion(features: DataFrame, genotype: DataFrame) -> DataFrame:
