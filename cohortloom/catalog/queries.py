@@ -30,7 +30,7 @@ from cohortloom.operators import (
 from cohortloom.operators.aggregates import STATS
 from cohortloom.plans import cohort, features, fusion, genotype, modelling, profiling, risk
 from cohortloom.session import fresh_path, materialize, prepare
-from cohortloom.sources import read_keyed_folder, read_parquet, stack_by_name
+from cohortloom.sources import read_keyed_folder, read_parquet, stack_by_name, write_csv, write_named_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -110,6 +110,28 @@ def scan_dir_filekey(v: Views) -> DataFrame:
     return read_keyed_folder(v.spark, path, schemas.GENOTYPE_CALLS, "FILE_ID", folder="dna_file")
 
 
+@query
+def scan_files_filekey(v: Views) -> DataFrame:
+    """One file per nation, the id being the third token of its name: written by name, then read in one scan."""
+    path = fresh_path(v.spark, "files")
+    people = v.table("customer").select(F.col("c_custkey").alias("PATIENT_ID"), "c_nationkey")
+    named = v.calls().join(people, "PATIENT_ID").select("c_nationkey", *schemas.GENOTYPE_CALLS.names)
+    write_named_files(named, "c_nationkey", path, "first_last_{}_dna.csv")
+    return read_keyed_folder(v.spark, path, schemas.GENOTYPE_CALLS, "FILE_ID")
+
+
+@query
+def scan_union_files(v: Views) -> DataFrame:
+    """The metric tables written as CSV files with different headers, read back and stacked by column name."""
+    one, two = _metric_tables(v)
+    paths = []
+    for df in (one.select("data_type", "f1", "recall"), two.select(F.col("Dataset").alias("data_type"), "AUROC")):
+        paths.append(fresh_path(v.spark, "results"))
+        write_csv(df, paths[-1])
+    stacked = stack_by_name([v.spark.read.option("header", True).csv(p) for p in paths])
+    return stacked.select("data_type", *[numbers.to_number(F.col(c)).alias(c) for c in ("f1", "recall", "AUROC")])
+
+
 def _metric_tables(v: Views) -> tuple[DataFrame, DataFrame]:
     found = materialize(metrics.binary_metrics(v.scores(), ["run"], "y", "p"), "metrics")
     one = found.select(
@@ -485,6 +507,13 @@ def limit_preview(v: Views) -> DataFrame:
     return ordering.preview(v.encounters(), [F.asc("PATIENT"), F.asc("START"), F.asc("Id")], 10)
 
 
+@query
+def table_shape(v: Views) -> DataFrame:
+    counted = {"observations": v.observations(), "conditions": v.conditions(), "encounters": v.encounters()}
+    parts = [ordering.shape_of(df).withColumn("name", F.lit(name)) for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def topk_abs(v: Views) -> DataFrame:
     return ordering.top_k(v.sumstats().select("chromosome", "base_pair_location", "beta"), "beta", 30, ["chromosome", "base_pair_location"])
@@ -803,7 +832,7 @@ TEST_FACTORS = {"Total Cholesterol": "Brand#1", "HDL-C": "Brand#2", "Systolic Bl
 
 def _risk(v: Views) -> DataFrame:
     return risk.risk_factors(
-        _x_agg(v),
+        features.dense_medians(_daily(v), list(TEST_FACTORS.values())),
         v.patients(),
         v.encounters(),
         v.conditions(),
@@ -930,6 +959,15 @@ def pipe_history_histogram(v: Views) -> DataFrame:
     return days.unionByName(visits)
 
 
+@query
+def pipe_history_histogram_obs(v: Views) -> DataFrame:
+    """Days and numbers of observations before the first event."""
+    per = materialize(profiling.history_before_event(v.observations(), _first_events(v), "DATE"), "history")
+    days = aggregates.histogram(per, "total_days_before", 50).withColumn("measure", F.lit("days"))
+    visits = aggregates.histogram(per, "num_visits_before", 50, clip=(0, 250)).withColumn("measure", F.lit("observations"))
+    return days.unionByName(visits)
+
+
 @query
 def pipe_obs_count_by_status(v: Views) -> DataFrame:
     return profiling.counts_by_status(v.observations(), _first_events(v))

@@ -187,6 +187,8 @@ _TABLES: dict[str, str] = {
         median(mx) as c, median(md) as d from v_temp0 group by 1) m on t.CODE = m.CODE""",
     "impute_hierarchical": f"""select PATIENT, CODE, slice, {FILLED4}, case when raw_md is null then 1 else 0 end as missing from v_temp3""",
     "sort_multi": "select PATIENT, Id, START::varchar as START, DESCRIPTION from v_enc",
+    "table_shape": """select count(*) as n_rows, 5 as n_columns, 'observations' as name from v_obs union all
+        select count(*), 5, 'conditions' from v_cond union all select count(*), 4, 'encounters' from v_enc""",
     "limit_preview": "select PATIENT, Id, START::varchar as START, DESCRIPTION from v_enc order by PATIENT, v_enc.START, Id limit 10",
     "topk_abs": f"""select chromosome, base_pair_location, {rs('beta')} from (select * from v_sumstats where beta is not null
         order by abs(beta) desc, chromosome, base_pair_location limit 30)""",
@@ -324,6 +326,10 @@ _TABLES: dict[str, str] = {
     + _histogram("e", "d", 50, "(select min(d) from e)", "(select max(d) from e)", ", 'days' as measure")
     + " union all "
     + _histogram("(select * from e where n between 0 and 250)", "n", 50, "0", "250", ", 'visits' as measure"),
+    "pipe_history_histogram_obs": "with e as (" + _HISTORY.format("(select PATIENT, DATE as START from v_obs)") + ") "
+    + _histogram("e", "d", 50, "(select min(d) from e)", "(select max(d) from e)", ", 'days' as measure")
+    + " union all "
+    + _histogram("(select * from e where n between 0 and 250)", "n", 50, "0", "250", ", 'observations' as measure"),
     "pipe_obs_count_by_status": """select o.PATIENT, count(*) as total_obs, case when any_value(f.PATIENT) is null then 'Non-CVD' else 'CVD' end as CVD_status
         from (select PATIENT, DATE, min(DATE) over (partition by PATIENT) as d from v_obs) o left join v_first f on o.PATIENT = f.PATIENT
         where DATE <= cast(d + interval 4 year as date) group by 1""",
@@ -339,4 +345,8 @@ _TABLES: dict[str, str] = {
     ),
 }
 
+# The same tables by way of other files.
+_TABLES["scan_files_filekey"] = _TABLES["scan_dir_filekey"]
+_TABLES["scan_union_files"] = _TABLES["scan_union_by_name"]
+
 SQL: dict[str, str] = {name: sql(body) for name, body in _TABLES.items()}

@@ -102,9 +102,12 @@ def map_intervals(
     )
 
 
-def attach_weights(snps: DataFrame, sumstats: DataFrame, align: bool = False) -> DataFrame:
+def attach_weights(snps: DataFrame, sumstats: DataFrame, align: bool = False, duplicates: str = "raise") -> DataFrame:
     """Give each SNP its effect size; an unmatched SNP keeps a null weight.
 
+    Several weights of a SNP of the list would count it several times: they are an error. With ``duplicates`` =
+    "best" the one with the smallest p-value is taken.
+
     The default key is chromosome, position, effect allele, other allele. With
     ``align`` a row also matches with the two alleles exchanged: the counted
     variant is then the effect allele and the weight keeps its sign, while a
@@ -121,7 +124,15 @@ def attach_weights(snps: DataFrame, sumstats: DataFrame, align: bool = False) ->
         weights = keyed("effect_allele", "other_allele", -1).unionByName(keyed("other_allele", "effect_allele", 1))
     else:
         weights = keyed("effect_allele", "other_allele", 1)
-    return snps.join(weights, "SNP_ID", "left")
+    if duplicates not in ("raise", "best"):
+        raise ValueError(f"duplicates is {duplicates}, neither raise nor best")
+    if duplicates == "best":
+        return snps.join(one_weight_per_snp(weights), "SNP_ID", "left")
+    counted = weights.groupBy("SNP_ID").agg(F.count("*").alias("_n"), F.min(F.struct(*fields)).alias("_w"))
+    several = F.raise_error(F.concat(F.lit("several weights for SNP "), F.col("SNP_ID"))).cast(counted.schema["_w"].dataType)
+    # Told after the join: only SNPs of the list matter.
+    joined = snps.join(counted, "SNP_ID", "left").withColumn("_w", F.when(F.col("_n") > 1, several).otherwise(F.col("_w")))
+    return joined.select(*[F.col(f"`{c}`") for c in snps.columns], "_w.*")
 
 
 def one_weight_per_snp(weights: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortloom.functions.dates import plus_years
+from cohortloom.functions.dates import plus_years, plus_years_at
 from cohortloom.operators.aggregates import STATS, single_value_sd
 from cohortloom.operators.ordering import group_medians, row_numbers
 from cohortloom.operators.shape import group_window_min, missing_indicator, with_group_min
@@ -22,13 +23,16 @@ def sequence_numbers(df: DataFrame, entity: str, order: Sequence[str], name: str
 def horizon_filter(
     df: DataFrame, entity: str, time: str, years: int = 4, name: str = "first_date", reduced: bool = False
 ) -> DataFrame:
-    """Rows up to ``years`` calendar years after the entity's first row, the last day included.
+    """Rows up to ``years`` calendar years after the entity's first row, the end included.
+
+    Of timestamps the time of day counts; of days the whole last day is in.
 
     ``reduced`` marks rows already aggregated to days, where a window is cheaper
     than a join because the count per entity is bounded.
     """
     anchored = group_window_min(df, [entity], time, name) if reduced else with_group_min(df, entity, time, name)
-    return anchored.filter(F.col(time) <= plus_years(F.col(name), years))
+    timed = isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType))
+    return anchored.filter(F.col(time) <= (plus_years_at if timed else plus_years)(F.col(name), years))
 
 
 def slice_number(time: Column, start: Column, days: int = 180) -> Column:

@@ -92,6 +92,21 @@ def x_agg(daily: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def dense_medians(daily: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """(PATIENT, feature, median) of a few features for every patient: those of ``x_agg``, without the other features.
+
+    Only values of the listed codes are grouped and ranked.
+    """
+    daily = materialize(daily, "daily")
+    own = daily.filter(F.col("CODE").isin(*codes)).groupBy("PATIENT", "CODE").agg(F.median("value").alias("median"))
+    own = materialize(own.withColumnRenamed("CODE", "feature"), "factor-medians")
+    typical = materialize(windows.population_medians(own, "feature", ["median"]), "medians").withColumnRenamed("median", "typical")
+    listed = F.explode(F.array(*[F.lit(c) for c in codes])).alias("feature")
+    every = daily.select("PATIENT").distinct().select("PATIENT", listed)
+    filled = every.join(own, ["PATIENT", "feature"], "left").join(typical, "feature", "left")
+    return filled.select("PATIENT", "feature", F.coalesce("median", "typical").alias("median"))
+
+
 def _columns_from_cells(long: DataFrame, place: Sequence[str], cells: Sequence[tuple], names: Sequence[str]) -> DataFrame:
     """Wide table from a dense long one: one shuffle gathers a patient's cells in order, then columns are picked by place.
 
@@ -117,7 +132,11 @@ def x_agg_wide(long: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def dense_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
-    """(PATIENT, CODE, slice) for every slice, patient and feature, with the raw statistics."""
+    """(PATIENT, CODE, slice) for every slice, patient and feature, with the raw statistics.
+
+    The daily values are read three times, so they are written once first.
+    """
+    daily = materialize(daily, "daily")
     sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
     per_slice = aggregates.stats4(sliced, ["PATIENT", "CODE", "slice"], "value")
     valued = daily.filter(F.col("value").isNotNull()).select("CODE").distinct()
@@ -133,8 +152,9 @@ def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int =
     the next one. A patient who never has the feature gets the population
     medians of the forward-filled table; null for a feature that no slice of any
     patient has. The indicator tells what was missing
-    before any fill.
+    before any fill. The daily values give the slices and the list of features, so they are written once first.
     """
+    daily = materialize(daily, "daily")
     sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
     per_slice = aggregates.stats4(sliced, ["PATIENT", "CODE", "slice"], "value")
     entry = F.when(F.col("median").isNotNull(), _stats_row(F.col("slice")))

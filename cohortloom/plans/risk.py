@@ -36,8 +36,8 @@ def risk_factors(
 ) -> DataFrame:
     """One row per patient: three medians, race, sex, age, diabetes and smoking in the window.
 
-    ``x_agg`` is the long feature table. Descriptions are filtered before the
-    joins, so only matching records are shuffled.
+    ``x_agg`` is the long feature table, or its medians of the three codes (``features.dense_medians``).
+    Descriptions are filtered before the joins, so only matching records are shuffled.
     """
     wanted = x_agg.filter(F.col("feature").isin(*codes.values()))
     medians = wanted.groupBy("PATIENT").agg(

@@ -7,6 +7,7 @@ from cohortloom.sources.files import (
     save_model,
     stack_by_name,
     write_csv,
+    write_named_files,
     write_parquet,
 )
 
@@ -19,5 +20,6 @@ __all__ = [
     "save_model",
     "stack_by_name",
     "write_csv",
+    "write_named_files",
     "write_parquet",
 ]
