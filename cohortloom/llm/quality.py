@@ -133,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
             found = weights.astype(np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["weights"])
 
-    got = taken.coalesce(1).sortWithinPartitions("place", "text").mapInArrow(fit, "weights binary").collect()
+    # The sampled rows alone are brought together: the documents are scanned and joined in all tasks.
+    got = taken.repartition(1).sortWithinPartitions("place", "text").mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(got[0]["weights"], np.float32) if got else None
 
 
