@@ -47,6 +47,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that no column of ``df`` has."""
+    return base + "_" * max(map(len, df.columns), default=0)
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % n

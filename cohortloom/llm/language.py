@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import held_out, learnt_from, read_table, ready, sample_by_hash
+from cohortloom.llm.common import free_name, held_out, learnt_from, read_table, ready, sample_by_hash
 
 #: Bytes of text compressed at once.
 WINDOW = 2048
@@ -50,9 +50,13 @@ def learn(rows: DataFrame) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null ``lang`` of ``rows`` (doc_id, text, lang); of bounded size."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = sample_by_hash(known.select("doc_id", "text", "lang"), "lang", SAMPLE_ROWS)
+    # A slice of each row at a hashed place, and the rows in hashed order: no beginnings, no run of ids.
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    cut = F.substr(F.col("text"), (place + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    order = F.xxhash64("doc_id", F.lit("order"))
     texts: dict[str, list[tuple]] = {}
-    for r in sample.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        texts.setdefault(r["lang"], []).append((str(r["doc_id"]), r["text"]))
+    for r in sample.select("lang", order.alias("order"), cut.alias("text")).collect():
+        texts.setdefault(r["lang"], []).append((r["order"], r["text"]))
     return {
         lang: b" ".join(_letters(t) for _, t in sorted(own))[-DICTIONARY:] for lang, own in sorted(texts.items())
     }
@@ -95,11 +99,14 @@ class _Coder:
         return self.langs[order[0]], score, narrow
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_rejected``; the other columns pass through."""
+#: Columns of a decision.
+DECISION = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], names: tuple[str, str, str] = DECISION) -> DataFrame:
+    """``docs`` with the decision in columns ``names``, which replace columns of these names; the others pass through."""
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(dictionaries)  # DICTIONARY bytes for each language
-    names = ("lang_pred", "lang_score", "lang_rejected")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +118,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(decide, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
+    kinds = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "boolean"), strict=True))
+    return kept.mapInArrow(decide, f"{fields}, {kinds}")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +137,5 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose language is not rejected, with the columns of ``docs``."""
     dictionaries = learn(docs.select("doc_id", "text", "lang"))
-    return identify(docs, dictionaries).where(~F.col("lang_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = tuple(free_name(docs, n) for n in DECISION)
+    return identify(docs, dictionaries, names).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
