@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import blocks, flat, read_table, ready, shingle_hashes, signed, word_hashes, word_spans
+from cohortloom.llm.common import blocks, flat, free_name, read_table, ready, shingle_hashes, signed, word_hashes, word_spans
 from cohortloom.llm.toxicity import GAP
 from cohortloom.session import materialize
 
@@ -216,6 +216,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Pipeline stage: the documents that no benchmark item contaminates, with the columns of ``docs``."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = contaminated(plain, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    lost = found.select(F.col("doc_id").alias("_lost_id"), F.col("print").alias("_lost_print"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")) & (text_print() == F.col("_lost_print"))
+    own, text = free_name(docs, "id"), free_name(docs, "print")
+    lost = found.select(F.col("doc_id").alias(own), F.col("print").alias(text))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (text_print() == F.col(text))
     return docs.join(lost, same, "left_anti")

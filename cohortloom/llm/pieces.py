@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,13 +235,18 @@ class Coder:
 _PATHS = "array<struct<score:double,pieces:array<int>>>"
 
 
+def _shared(df: DataFrame, vocabulary: Vocabulary) -> Broadcast:
+    """The vocabulary with its class, so that executors need not have the package installed."""
+    return ready(df.sparkSession).sparkContext.broadcast(cloudpickle.dumps(vocabulary))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFrame:
     """(doc_id, text) to (doc_id, segmentations): the ``n`` best as score and piece ids, best first."""
-    shared = ready(docs.sparkSession).sparkContext.broadcast(vocabulary)
+    shared = _shared(docs, vocabulary)
     kind = pa.list_(pa.struct([("score", pa.float64()), ("pieces", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, n)
+        coder = Coder(pickle.loads(shared.value), n)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -257,10 +264,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, pieces) to (doc_id, text)."""
-    shared = ready(coded.sparkSession).sparkContext.broadcast(vocabulary)
+    shared = _shared(coded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = Coder(pickle.loads(shared.value))
         for batch in batches:
             texts = [coder.text(b"".join(coder.bytes_of[i] for i in ids or ())) for ids in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -274,10 +281,10 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFra
     ``pieces_sha256`` is over the ids of the best one as little-endian 32-bit numbers;
     ``round_trip`` is whether decoding them gives the text.
     """
-    shared = ready(docs.sparkSession).sparkContext.broadcast(vocabulary)
+    shared = _shared(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, n)
+        coder = Coder(pickle.loads(shared.value), n)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
