@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import read_table, ready
 
 #: Characters of a chunk, and how many more it shares with the next one.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: Chunks of a document that are encoded at a time: bounds the encodings in memory.
 AT_ONCE = 16
 #: Pieces of short texts whose counts a task remembers.
@@ -69,9 +69,9 @@ class Chunk:
 
     def __init__(self, encoding, start: int, end: int):
         words = np.array(encoding.word_ids, np.int64)
-        places = np.array(encoding.offsets, np.int64).reshape(-1, 2)
+        places = encoding.offsets
         self.before = np.flatnonzero(np.diff(words, prepend=-1) != 0)
-        self.starts = places[self.before, 0] + start
+        self.starts = np.array([places[k][0] for k in self.before.tolist()], np.int64) + start
         self.tokens, self.end = len(words), end
 
     def upto(self, place: int) -> int:
