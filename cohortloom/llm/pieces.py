@@ -11,11 +11,13 @@ the search is run for the few words of each text whose other paths can be among
 
 The vocabulary is one of merges in order of frequency; its piece of rank r gets Zipf's
 probability 1 / ((r + 1) H). A character without a piece is spelled in byte pieces, as is the
-blank sign itself where a text holds it, so that decoding gives back every text.
+blank sign itself where a text holds it, so that decoding gives back every text. Log-probabilities
+are whole multiples of ``2 ** -32``: sums are exact, whatever their order, and so are ties.
 
-Defined results: null and empty texts have no piece, score 0 and one segmentation; equal scores
-come in the order in which the search finds them, the same in every run; repeated rows get
-equal rows. Extra columns are ignored.
+Defined results: null and empty texts have no piece, score 0 and one segmentation; among equal
+scores of a word, the path whose last piece begins first comes first, then that of the piece before it, and so
+on, for the best path as for all others; repeated rows get equal rows. Extra columns are ignored. The search goes
+on where it is nearest to the start of the word, so a run of any length without blanks takes time in proportion.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import heapq
 import math
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -39,8 +42,11 @@ from cohortloom.llm.common import read_table, ready
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of each text.
 N_BEST = 3
-#: Words whose best segmentations a task remembers at once.
-REMEMBERED = 300_000
+#: Words whose best segmentations a task remembers at once, and the longest that it remembers, in characters.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+#: Log-probabilities are counted in parts of this size.
+PARTS = 1 << 32
+_NEVER = -(1 << 200)
 
 BLANK = "▁"
 SIGN = "sign"
@@ -49,73 +55,85 @@ _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with id and log-probability, and the ids of the 256 byte pieces."""
+    """Pieces with id and log-probability (in ``PARTS``), and the ids of the 256 byte pieces."""
 
-    pieces: dict[str, tuple[int, float]]
+    #: Every piece, and every beginning of one with the id -1: a walk from a place ends where no piece goes on.
+    pieces: dict[str, tuple[int, int]]
     byte_ids: list[int]
-    byte_score: float
-    longest: int
+    byte_score: int
 
     def text_of(self) -> dict[int, bytes]:
-        out = {i: piece.replace(BLANK, " ").encode() for piece, (i, _) in self.pieces.items()}
+        out = {i: piece.replace(BLANK, " ").encode() for piece, (i, _) in self.pieces.items() if i >= 0}
         return out | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
 
+    def spelled(self, character: str) -> tuple[tuple[int, ...], int]:
+        """Ids and log-probability of a character in byte pieces."""
+        own = character.encode()
+        return tuple(self.byte_ids[b] for b in own), len(own) * self.byte_score
+
+
+def vocabulary_of(ranks: dict[str, tuple[int, float]], byte_ids: list[int]) -> Vocabulary:
+    """From (id, rank) of each piece: Zipf's probabilities of the ranks."""
+    if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ranks):
+        raise ValueError("a piece has a blank behind another character")
+    total = sum(1 / (r + 1) for _, r in ranks.values())
+    score = lambda r: round(-math.log((r + 1) * total) * PARTS)
+    pieces = {p[:k]: (-1, 0) for p in ranks for k in range(1, len(p))}
+    pieces |= {p: (i, score(r)) for p, (i, r) in ranks.items()}
+    return Vocabulary(pieces, byte_ids, score(len(ranks)))
+
 
 def load(path: str = VOCABULARY) -> Vocabulary:
     """Read on the driver; the 32,000 pieces are broadcast to the tasks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids = range(model.get_piece_size())
     byte_ids = [0] * 256
     ranks: dict[str, tuple[int, float]] = {}
-    for i in ids:
+    for i in range(model.get_piece_size()):
         if model.is_byte(i):
             byte_ids[int(model.id_to_piece(i)[1:-1], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             ranks[model.id_to_piece(i)] = (i, -model.get_score(i))
-    if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ranks):
-        raise ValueError("a piece has a blank behind another character")
-    total = sum(1 / (r + 1) for _, r in ranks.values())
-    pieces = {p: (i, -math.log((r + 1) * total)) for p, (i, r) in ranks.items()}
-    return Vocabulary(pieces, byte_ids, -math.log((len(pieces) + 1) * total), max(map(len, pieces)))
+    return vocabulary_of(ranks, byte_ids)
 
 
 class Lattice:
     """All pieces that fit one string: for each end the (start, ids, score) of its edges."""
 
     def __init__(self, vocabulary: Vocabulary, text: str):
-        pieces, longest = vocabulary.pieces, vocabulary.longest
-        n = len(text)
-        self.edges: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
+        known, n = vocabulary.pieces.get, len(text)
+        self.edges: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(n + 1)]
         for start in range(n):
-            for end in range(start + 1, min(n, start + longest) + 1):
-                if found := pieces.get(text[start:end]):
-                    self.edges[end].append((start, (found[0],), found[1]))
-                elif end == start + 1:
-                    own = text[start].encode()
-                    ids = tuple(vocabulary.byte_ids[b] for b in own)
-                    self.edges[end].append((start, ids, len(own) * vocabulary.byte_score))
+            for end in range(start + 1, n + 1):
+                i, score = known(text[start:end], (None, 0))
+                if end == start + 1 and (i is None or i < 0):
+                    self.edges[end].append((start, *vocabulary.spelled(text[start])))
+                elif i is not None and i >= 0:
+                    self.edges[end].append((start, (i,), score))
+                if i is None:
+                    break
         #: Viterbi: the best score of each prefix.
-        self.best = [0.0] + [-math.inf] * n
+        self.best = [0] * (n + 1)
         for end in range(1, n + 1):
             self.best[end] = max(self.best[start] + score for start, _, score in self.edges[end])
 
-    def paths(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def paths(self, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids), best first; fewer if there are no more."""
         last = len(self.best) - 1
-        agenda = [(-self.best[last], 0, last, 0.0, ())]
-        found: list[tuple[float, tuple[int, ...]]] = []
+        agenda = [(-self.best[last], last, 0, 0, ())]
+        found: list[tuple[int, tuple[int, ...]]] = []
         pushed = 0
         while agenda and len(found) < n:
-            _, _, at, behind, ids = heapq.heappop(agenda)
+            # Among equals the one nearest to the start: the first of tied paths is walked to its end at once.
+            _, at, _, behind, ids = heapq.heappop(agenda)
             if at == 0:
                 found.append((behind, _unlinked(ids)))
                 continue
             for start, own, score in self.edges[at]:
                 pushed += 1
                 # What lies behind is exact, and so is the best of what lies before.
-                heapq.heappush(agenda, (-(behind + score + self.best[start]), pushed, start, behind + score, (own, ids)))
+                heapq.heappush(agenda, (-(behind + score + self.best[start]), start, pushed, behind + score, (own, ids)))
         return found
 
 
@@ -127,39 +145,47 @@ def _unlinked(ids: tuple) -> tuple[int, ...]:
     return tuple(out)
 
 
-def best_and_gap(vocabulary: Vocabulary, text: str) -> tuple[float, list[int], float]:
-    """Score and ids of the best path, and by how much the second best is worse (infinite if there is none)."""
-    pieces, longest, n = vocabulary.pieces, vocabulary.longest, len(text)
-    best, came = [-math.inf] * (n + 1), [(0, ())] * (n + 1)
-    best[0] = 0.0
-    edges = []
+def best_and_gap(vocabulary: Vocabulary, text: str) -> tuple[int, list[int], float]:
+    """Score and ids of the best path, and by how much the second best is worse (infinite if there is none).
+
+    Forward Viterbi with the two best scores of every prefix.
+    """
+    known, n = vocabulary.pieces.get, len(text)
+    first, second = [_NEVER] * (n + 1), [_NEVER] * (n + 1)
+    came: list[tuple[int, tuple[int, ...] | int]] = [(0, ())] * (n + 1)
+    first[0] = 0
     for start in range(n):
-        here = best[start]
-        for end in range(start + 1, min(n, start + longest) + 1):
-            found = pieces.get(text[start:end])
+        here, other, end = first[start], second[start], start + 1
+        found = known(text[start:end])
+        if found is None or found[0] < 0:
+            own, score = vocabulary.spelled(text[start])
+        else:
+            own, score = found
+        while True:
+            if own != -1:
+                total, most = here + score, first[end]
+                if total > most:
+                    also = other + score
+                    second[end] = also if also > most else most
+                    first[end] = total
+                    came[end] = (start, own)
+                elif total > second[end]:
+                    second[end] = total
+            if found is None or end == n:
+                break
+            end += 1
+            found = known(text[start:end])
             if found is None:
-                if end > start + 1:
-                    continue
-                own = text[start].encode()
-                ids, score = tuple(vocabulary.byte_ids[b] for b in own), len(own) * vocabulary.byte_score
-            else:
-                ids, score = (found[0],), found[1]
-            edges.append((start, end, score))
-            if here + score > best[end]:
-                best[end] = here + score
-                came[end] = (start, ids)
-    after = [-math.inf] * n + [0.0]
-    for start, end, score in reversed(edges):
-        if after[end] + score > after[start]:
-            after[start] = after[end] + score
-    ids, on_path, at = [], set(), n
+                break
+            own, score = found
+    ids, at = [], n
     while at:
-        start, own = came[at]
-        on_path.add((start, at))
-        ids.append(own)
-        at = start
-    second = max((best[a] + s + after[b] for a, b, s in edges if (a, b) not in on_path), default=-math.inf)
-    return best[n], [i for own in reversed(ids) for i in own], best[n] - second
+        at, own = came[at]
+        if isinstance(own, int):
+            ids.append(own)
+        else:
+            ids += own[::-1]
+    return first[n], ids[::-1], first[n] - second[n] if second[n] > _NEVER // 2 else math.inf
 
 
 class Coder:
@@ -173,24 +199,28 @@ class Coder:
         self.literal = [vocabulary.byte_ids[b] for b in BLANK.encode()]
 
     def unit(self, name: str) -> tuple:
-        """(score, ids as bytes, decoded bytes, gap of the second best, name) of a unit."""
+        """(score in parts, ids as bytes, decoded bytes, gap of the second best, name) of a unit."""
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         if name == SIGN:
             score, ids, gap = 3 * self.vocabulary.byte_score, self.literal, math.inf
         else:
             score, ids, gap = best_and_gap(self.vocabulary, name[1:])
-        made = (score, np.array(ids, np.int32).tobytes(), b"".join(map(self.bytes_of.__getitem__, ids)), gap, name)
-        self.known[name] = made
+        made = (score, array("i", ids).tobytes(), b"".join(map(self.bytes_of.__getitem__, ids)), gap, name)
+        if len(name) <= REMEMBERED_LENGTH:
+            self.known[name] = made
         return made
 
-    def paths(self, name: str) -> list[tuple[float, tuple[int, ...]]]:
+    def paths(self, name: str) -> list[tuple[int, tuple[int, ...]]]:
         """The N best paths of a unit that has more than one."""
+        if name in self.searched:
+            return self.searched[name]
         if len(self.searched) >= REMEMBERED // 10:
             self.searched.clear()
-        if name not in self.searched:
-            self.searched[name] = Lattice(self.vocabulary, name[1:]).paths(self.n)
-        return self.searched[name]
+        found = Lattice(self.vocabulary, name[1:]).paths(self.n)
+        if len(name) <= REMEMBERED_LENGTH:
+            self.searched[name] = found
+        return found
 
     def units(self, text: str) -> list[tuple]:
         """Units of a text, each looked up under ``w`` and its string, or under ``SIGN`` for the blank sign itself."""
@@ -220,16 +250,16 @@ class Coder:
 
     def best(self, units: list[tuple]) -> list[tuple[float, dict[int, int]]]:
         """The N best as (score, {place of a unit: which of its paths} where not the first), best first."""
-        total = math.fsum(u[0] for u in units)
+        total = sum(u[0] for u in units)
         # Only the units with the smallest gaps can differ: changing another one costs more than each of theirs alone.
         free = heapq.nsmallest(self.n - 1, ((u[3], k) for k, u in enumerate(units) if u[3] < math.inf))
-        sums: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])]
+        sums: list[tuple[int, list[tuple[int, int]]]] = [(0, [])]
         for _, k in free:
             paths = self.paths(units[k][4])
             first = paths[0][0]
             longer = [(cost + first - paths[j][0], [*own, (k, j)] if j else own) for cost, own in sums for j in range(len(paths))]
             sums = heapq.nsmallest(self.n, longer, key=lambda s: s[0])
-        return [(total - cost, dict(own)) for cost, own in sums]
+        return [((total - cost) / PARTS, dict(own)) for cost, own in sums]
 
 
 _PATHS = "array<struct<score:double,pieces:array<int>>>"

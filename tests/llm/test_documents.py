@@ -148,16 +148,81 @@ def test_pieces_come_back_and_best_paths_are_right(docs):
     for word in ("▁the", "▁rivers", "naïve"):
         every = []
 
-        def walk(at: int, score: float, lattice) -> None:
+        def walk(at: int, score: int, lattice) -> None:
             if at == 0:
                 every.append(score)
             for start, _, own in lattice.edges[at]:
                 walk(start, score + own, lattice)
 
         lattice = pieces.Lattice(vocabulary, word)
-        walk(len(word), 0.0, lattice)
-        best = sorted(every, reverse=True)[:5]
-        assert [s for s, _ in lattice.paths(5)] == pytest.approx(best)
+        walk(len(word), 0, lattice)
+        assert [s for s, _ in lattice.paths(5)] == sorted(every, reverse=True)[:5]
+
+
+def _every_segmentation(coder: pieces.Coder, text: str) -> list[tuple[int, tuple[int, ...]]]:
+    """All (score, ids) of a whole text: each unit's by plain recursion, then all their combinations."""
+    v = coder.vocabulary
+
+    def split(rest: str) -> list[tuple[int, tuple[int, ...]]]:
+        if not rest:
+            return [(0, ())]
+        out = []
+        for k in range(1, len(rest) + 1):
+            i, score = v.pieces.get(rest[:k], (-1, 0))
+            if i >= 0:
+                own = ((i,), score)
+            elif k == 1:
+                own = v.spelled(rest[0])
+            else:
+                continue
+            out += [(own[1] + s, own[0] + ids) for s, ids in split(rest[k:])]
+        return out
+
+    whole = [(0, ())]
+    for unit in coder.units(text):
+        own = [(unit[0], tuple(coder.literal))] if unit[4] == pieces.SIGN else split(unit[4][1:])
+        whole = [(a + s, x + y) for a, x in whole for s, y in own]
+    return whole
+
+
+def test_best_segmentations_of_whole_texts_against_brute_force():
+    """Scores, order and pieces of the N best; ties and repeated characters; no segmentation comes twice."""
+    coder = pieces.Coder(pieces.load(), 4)
+    random = np.random.default_rng(7)
+    texts = ["", " ", "a", "the", "hhhhhh", "====", "▁x", "x ▁ y", "é\n", "  ab  "]
+    texts += ["".join(random.choice(list("abh=é▁ "), size=random.integers(1, 8))) for _ in range(300)]
+    for text in texts:
+        units = coder.units(text)
+        best = coder.best(units)
+        made = [tuple(coder.pieces(units, other)) for _, other in best]
+        every = dict((ids, score) for score, ids in _every_segmentation(coder, text))
+        assert len(set(made)) == len(made) == min(4, len(every))
+        assert [every[ids] for ids in made] == sorted(every.values(), reverse=True)[: len(made)]
+        assert [score for score, _ in best] == [every[ids] / pieces.PARTS for ids in made]
+        assert {coder.text(b"".join(map(coder.bytes_of.__getitem__, ids))) for ids in made} == {text}
+        assert coder.decode(units) == text
+
+
+def test_a_very_long_word_is_segmented_in_time():
+    coder = pieces.Coder(pieces.load())
+    text = "".join(np.random.default_rng(3).choice(list("abcdefgh"), size=100_000)) + " " + "=" * 50_000
+    units = coder.units(text)
+    best = coder.best(units)
+    assert len({tuple(coder.pieces(units, other)) for _, other in best}) == 3
+    assert coder.decode(units) == text and not coder.known
+
+
+def test_encode_and_decode_with_extra_columns_and_repeats(spark):
+    vocabulary = pieces.load()
+    texts = ["a cat", "a cat", "", None, "naïve ▁ tab\tend\n"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, segmentations string")
+    coded = pieces.encode(docs, vocabulary, 2)
+    rows = {r.doc_id: r.segmentations for r in coded.collect()}
+    assert rows[0] == rows[1] and len(rows[0]) == 2 and [len(rows[k]) for k in (2, 3)] == [1, 1]
+    for k in (0, -1):
+        place = "segmentations[size(segmentations) - 1].pieces" if k else "segmentations[0].pieces"
+        back = pieces.decode(coded.selectExpr("doc_id", f"{place} as pieces"), vocabulary)
+        assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
 def test_personal_data_with_disguises(spark):
