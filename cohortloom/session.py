@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot entity is split even when a later aggregation needs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffle files go when the query that wrote them ends: steps are reread from tables, never from shuffles.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -76,6 +78,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose last reader has been written."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once no result that reads them is needed."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
