@@ -824,7 +824,7 @@ def pipe_x_temp(v: Views) -> DataFrame:
 
 @query
 def pipe_x_temp_flat(v: Views) -> DataFrame:
-    return features.x_temp_flat(features.x_temp(_daily(v), _first_events(v)), FEATURES)
+    return features.x_temp_wide(features.x_temp_nested(_daily(v), _first_events(v)), FEATURES)
 
 
 @query
@@ -836,7 +836,7 @@ def pipe_early_fusion(v: Views) -> DataFrame:
 @query
 def pipe_early_fusion_temp(v: Views) -> DataFrame:
     genotypes = genomics.genotype_matrix(genomics.dosage(v.calls()).withColumn("dosage", F.col("dosage").cast("double")), snp_names())
-    return features.early_fusion(features.x_temp_flat(features.x_temp(_daily(v), _first_events(v)), FEATURES), genotypes)
+    return features.early_fusion(features.x_temp_wide(features.x_temp_nested(_daily(v), _first_events(v)), FEATURES), genotypes)
 
 
 def _prs(v: Views) -> DataFrame:

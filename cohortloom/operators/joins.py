@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions.dates import plus_years, plus_years_at
 from cohortloom.functions.text import site_key
+from cohortloom.session import materialize
 
 
 def inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -69,6 +70,10 @@ def densify(df: DataFrame, entity: Sequence[str], n_slices: int, name: str = "sl
     return grid.join(df, [*entity, name], "left")
 
 
+#: Each level of bins is this many times as wide as the one before; the last level is one bin for everything.
+_WIDER, _LEVELS = 8, 15
+
+
 def map_intervals(
     positions: DataFrame,
     blocks: DataFrame,
@@ -79,27 +84,50 @@ def map_intervals(
 ) -> DataFrame:
     """Move positions to another coordinate system through blocks ``(chrom, lo, hi, off)``.
 
-    Both sides get a bin number, so the range join becomes an equi join on
-    (chromosome, bin) with the exact range as residual. A block is listed once
-    for each bin it touches, so it meets a position at most once.
+    Bins come in levels, each eight times as wide as the one before. A block is
+    listed once, in the smallest bin that holds all of it, however long it is.
+    A position probes one bin of each level that has blocks, so the range join
+    becomes an equi join on (chromosome, level, bin) with the exact range as
+    residual, and a position meets a block at most once. With
+    ``keep_unmapped`` positions that no block holds are kept with a null.
     """
-    bin_of = lambda c: F.floor(c / F.lit(bin_width))
-    binned = blocks.select(
-        F.col("chrom").alias(chrom),
-        "lo",
-        "hi",
-        "off",
-        F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))).alias("_bin"),
+    # Written out: the levels are read from it too, and Catalyst sees its size.
+    listed = materialize(
+        blocks.select(F.col("chrom").alias("_chrom"), "lo", "hi", "off", _smallest_bin(F.col("lo"), F.col("hi"), bin_width).alias("_b")).select(
+            "_chrom", "lo", "hi", "off", "_b.*"
+        ),
+        "blocks",
     )
-    hit = (F.col(position) >= F.col("lo")) & (F.col(position) <= F.col("hi"))
-    how = "left" if keep_unmapped else "inner"
-    left = positions.withColumn("_bin", bin_of(F.col(position))).alias("p")
-    right = binned.alias("b")
-    on = (F.col(f"p.{chrom}") == F.col(f"b.{chrom}")) & (F.col("p._bin") == F.col("b._bin")) & hit
-    return left.join(right, on, how).select(
-        *[F.col(f"p.{c}") for c in positions.columns],
-        (F.col(f"p.{position}") + F.col("b.off")).alias("mapped_position"),
+    # At most ``_LEVELS + 1`` numbers.
+    levels = listed.agg(F.collect_set("_level")).scalar()
+    probes = positions.withColumn("_level", F.explode(levels)).withColumn("_bin", _bin_at(F.col(position), F.col("_level"), bin_width))
+    p, b = probes.alias("p"), listed.alias("b")
+    place = F.col(f"p.{position}")
+    on = (F.col(f"p.{chrom}") == F.col("b._chrom")) & (F.col("p._level") == F.col("b._level")) & (F.col("p._bin") == F.col("b._bin"))
+    columns = [F.col(f"p.{c}") for c in positions.columns]
+    mapped = p.join(b, on & place.between(F.col("b.lo"), F.col("b.hi"))).select(*columns, (place + F.col("b.off")).alias("mapped_position"))
+    if not keep_unmapped:
+        return mapped
+    found = mapped.select(chrom, position).distinct()
+    left = positions.join(found, [chrom, position], "left_anti").select(*positions.columns)
+    return mapped.unionByName(left.withColumn("mapped_position", F.lit(None).cast(mapped.schema["mapped_position"].dataType)))
+
+
+def _bin_at(place: Column, level: Column, bin_width: int) -> Column:
+    """Number of the bin of a level; the last level has bin 0 only."""
+    width = (F.pow(F.lit(_WIDER), level) * bin_width).cast("bigint")
+    return F.when(level == _LEVELS, F.lit(0).cast("bigint")).otherwise(F.floor(place / width).cast("bigint"))
+
+
+def _smallest_bin(lo: Column, hi: Column, bin_width: int) -> Column:
+    """(level, bin) of the smallest bin that holds both ends."""
+    level = F.array_min(
+        F.filter(
+            F.sequence(F.lit(0), F.lit(_LEVELS)),
+            lambda n: _bin_at(lo, n, bin_width) == _bin_at(hi, n, bin_width),
+        )
     )
+    return F.struct(level.alias("_level"), _bin_at(lo, level, bin_width).alias("_bin"))
 
 
 def attach_weights(snps: DataFrame, sumstats: DataFrame, align: bool = False, duplicates: str = "raise") -> DataFrame:

@@ -80,98 +80,124 @@ def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
     value: Column,
-    fractions: Sequence[float],
     ranks: Mapping[str, Callable[[Column], Column]],
     result: Column | None = None,
+    weight: Column | None = None,
     accuracy: int = 10_000,
-    window_rows: int = 5_000_000,
+    bracket_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact k-th smallest values per key, without sorting a key's rows.
 
-    ``ranks`` names the wanted ranks as functions of the row count; each rank
-    must lie within one row of ``fraction * count`` for some listed fraction.
-    First pass: a mergeable quantile sketch of fixed size brackets each
-    fraction. Second pass: one count per distinct value inside the brackets
-    and one count for each gap between them; cumulative counts then hold the
-    exact ranks. A bracket holds about ``6 / accuracy`` of a key's rows; where
-    that could exceed ``window_rows`` the counts are accumulated over range
-    partitions, else in one window per key.
+    ``ranks`` names the wanted ranks as functions of the count. A row counts
+    ``weight`` times (a whole number from 1; default once), so copies need not
+    be made. Each key begins with one bracket, the whole line. While a bracket
+    holds more than ``bracket_rows`` rows, a mergeable quantile sketch of its
+    rows cuts it into cells, the cells are counted exactly, and those that
+    hold a wanted rank are the next brackets. The sketch only says where to
+    cut: cells cover the whole line, so no rank can fall outside them. A value
+    that many rows share is a cell of its own and needs no further cut, so a
+    round leaves about 1 / 128 of a bracket's rows. What is left is counted
+    by distinct value.
 
     ``result`` is the value to return where it is finer than the numeric
     ``value`` (a hash text whose leading digits are ``value``); it must sort
-    the same way. Null values are ignored. Keys must not be null.
+    the same way. Null values are ignored. There is at least one key; keys must not be null.
     """
     keys = list(keys)
-    rows = df.select(*keys, value.cast("double").alias("_v"), (value if result is None else result).alias("_r"))
-    rows = rows.filter(F.col("_v").isNotNull())
-    margin = 3.0 / accuracy
-    cuts = [max(f - margin, 0.0) for f in fractions] + [min(f + margin, 1.0) for f in fractions]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(c) for c in cuts], accuracy).alias("_q"),
-    )
-    few = F.col("_n") <= accuracy
-    lows = [F.when(few, F.col("_min")).otherwise(F.col("_q")[i]) for i in range(len(fractions))]
-    highs = [
-        F.when(few, F.col("_max")).otherwise(F.col("_q")[i + len(fractions)]) for i in range(len(fractions))
-    ]
+    counted = F.lit(1) if weight is None else weight
+    rows = df.select(
+        *keys,
+        value.cast("double").alias("_v"),
+        (value if result is None else result).alias("_r"),
+        counted.cast("bigint").alias("_w"),
+    ).filter(F.col("_v").isNotNull())
+    whole = rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_held"))
+    line = [F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi")]
     # Written out: a handful of keys is then broadcast, many are sort-merged.
     brackets = materialize(
-        sketch.select(*keys, "_n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi")), "brackets"
+        whole.select(*keys, "_n", *line, F.lit(False).alias("_point"), F.lit(0).cast("bigint").alias("_base"), "_held"), "brackets"
     )
-    joined = rows.join(brackets, keys) if keys else _with_single_row(rows, brackets)
-    inside = F.lit(False)
-    zone = F.lit(0)
-    for i in range(len(fractions)):
-        low, high = F.col("_lo")[i], F.col("_hi")[i]
-        inside = inside | F.col("_v").between(low, high)
-        zone = zone + (F.col("_v") >= low).cast("int") + (F.col("_v") > high).cast("int")
-    cells = (
-        joined.select(
-            *keys,
-            "_n",
-            zone.alias("_zone"),
-            F.when(inside, F.col("_v")).alias("_v"),
-            F.when(inside, F.col("_r")).alias("_r"),
-        )
-        .groupBy(*keys, "_n", "_zone", "_v", "_r")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = [F.col("_zone"), F.col("_v"), F.col("_r")]
-    largest = brackets.agg(F.max("_n")).first()[0] or 0
-    if min(largest, max(2 * margin * len(fractions) * largest, accuracy)) > window_rows:
-        cells = running_totals(cells, keys, order, {"_cum": F.col("_c")})
-    else:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        cells = cells.withColumn("_cum", F.sum("_c").over(upto))
-    n = F.col("_n")
-    picks = []
-    for name, rank in ranks.items():
-        k = rank(n)
-        here = (F.col("_cum") - F.col("_c") < k) & (k <= F.col("_cum"))
-        found = F.when(F.col("_v").isNull(), F.raise_error(F.lit("rank outside its bracket"))).otherwise(F.col("_r"))
-        picks.append(F.max(F.when(here, found)).alias(name))
-    return cells.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+    large = ~F.col("_point") & (F.col("_held") > bracket_rows)
+    while not brackets.filter(large).isEmpty():
+        narrowed = _narrowed(rows, keys, brackets.filter(large), ranks, accuracy)
+        brackets = materialize(brackets.filter(~large).unionByName(narrowed), "brackets")
+    values = _inside(rows, keys, brackets).groupBy(*keys, "_n", "_base", "_v", "_r").agg(F.sum("_w").alias("_c"))
+    upto = Window.partitionBy(*keys, "_base").orderBy("_v", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_cum", F.col("_base") + F.sum("_c").over(upto))
+    picks = [F.max(F.when(_holds(rank(F.col("_n"))), F.col("_r"))).alias(name) for name, rank in ranks.items()]
+    return values.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+
+
+def _holds(rank: Column) -> Column:
+    """Whether a rank is among the ``_c`` counts that end at ``_cum``."""
+    return (F.col("_cum") - F.col("_c") < rank) & (rank <= F.col("_cum"))
+
+
+def _inside(rows: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Rows with the bracket that holds them: a single value ``_lo`` (a point), or between ``_lo`` and ``_hi``, both excluded, null for no end."""
+    within = (F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi")))
+    return rows.join(brackets, list(keys)).filter(F.when(F.col("_point"), F.col("_v") == F.col("_lo")).otherwise(within))
 
 
-def _with_single_row(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table through scalar subqueries."""
-    return rows.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+#: Cuts of a bracket: one less than a power of two, as they are searched by halving.
+_CUTS = 127
 
 
-def group_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact interpolated median per key; keys with no value are absent."""
+def _narrowed(
+    rows: DataFrame, keys: Sequence[str], brackets: DataFrame, ranks: Mapping[str, Callable[[Column], Column]], accuracy: int
+) -> DataFrame:
+    """The cells of ``brackets`` that hold a wanted rank, as brackets."""
+    own = [*keys, "_n", "_base"]
+    shares = [(i + 1) / (_CUTS + 1) for i in range(_CUTS)]
+    cuts = _inside(rows, keys, brackets).groupBy(*own, "_lo", "_hi", "_point").agg(
+        F.percentile_approx("_v", shares, accuracy).alias("_cuts")
+    )
+    placed = _inside(rows, keys, materialize(cuts, "cuts"))
+    # How many cuts are less than the value, by halving; then the cells are numbered: open, point, open, point, ...
+    step, below = (_CUTS + 1) // 2, F.lit(0)
+    placed = placed.withColumn("_below", below)
+    while step:
+        more = F.col("_v") > F.get("_cuts", F.col("_below") + (step - 1))
+        placed = placed.withColumn("_below", F.when(more, F.col("_below") + step).otherwise(F.col("_below")))
+        step //= 2
+    on_cut = F.coalesce(F.col("_v") == F.get("_cuts", F.col("_below")), F.lit(False)).cast("int")
+    cells = (
+        placed.withColumn("_cell", 2 * F.col("_below") + on_cut)
+        .groupBy(*own, "_lo", "_hi", "_cuts", "_cell")
+        .agg(F.sum("_w").alias("_c"), F.count(F.lit(1)).alias("_held"))
+    )
+    # At most 2 * _CUTS + 1 rows for each bracket.
+    upto = Window.partitionBy(*keys, "_base").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_cum", F.col("_base") + F.sum("_c").over(upto))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | _holds(rank(F.col("_n")))
+    place, point = F.shiftright("_cell", 1), F.col("_cell") % 2 == 1
+    here, before = F.get("_cuts", place), F.get("_cuts", place - 1)
+    return cells.filter(wanted).select(
+        *keys,
+        "_n",
+        F.when(point, here).otherwise(F.coalesce(before, F.col("_lo"))).alias("_lo"),
+        F.when(point, here).otherwise(F.coalesce(here, F.col("_hi"))).alias("_hi"),
+        point.alias("_point"),
+        (F.col("_cum") - F.col("_c")).alias("_base"),
+        "_held",
+    )
+
+
+def group_medians(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", weight: Column | None = None
+) -> DataFrame:
+    """Exact interpolated median per key, a row counting ``weight`` times; keys with no value are absent."""
     halves = order_statistics(
         df,
         keys,
         F.col(f"`{value}`"),
-        [0.5],
         {
             "_low": lambda n: F.floor((n + 1) / 2),
             "_high": lambda n: F.floor(n / 2) + 1,
         },
+        weight=weight,
     )
     return halves.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 

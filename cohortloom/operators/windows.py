@@ -71,15 +71,16 @@ def fill_down_up(df: DataFrame, keys: Sequence[str], order: str, columns: Sequen
     )
 
 
-def population_medians(df: DataFrame, feature: str, columns: Sequence[str]) -> DataFrame:
-    """Exact median of each column over all entities, one row per feature.
+def population_medians(df: DataFrame, feature: str, columns: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """Exact median of each column over all entities, one row per feature; a row counts ``weight`` times.
 
     A feature is a group of all entities, so this narrows brackets instead of
     gathering values; features without any value are absent.
     """
     stat = F.array(*[F.struct(F.lit(c).alias("_stat"), F.col(c).cast("double").alias("_x")) for c in columns])
-    long = df.select(feature, F.explode(stat).alias("_s")).select(feature, "_s._stat", "_s._x")
-    medians = group_medians(long, [feature, "_stat"], "_x", "_med")
+    counted = F.lit(1) if weight is None else weight
+    long = df.select(feature, counted.alias("_times"), F.explode(stat).alias("_s")).select(feature, "_times", "_s._stat", "_s._x")
+    medians = group_medians(long, [feature, "_stat"], "_x", "_med", None if weight is None else F.col("_times"))
     return medians.groupBy(feature).agg(*[F.max(F.when(F.col("_stat") == c, F.col("_med"))).alias(c) for c in columns])
 
 

@@ -145,76 +145,119 @@ def dense_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFr
     return joins.slice_grid(pairs, n_slices).join(per_slice, ["PATIENT", "CODE", "slice"], "left")
 
 
-def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
-    """(PATIENT, CVD, feature, slice, sd, min, max, median, missing) with every slice of every patient.
+def _carried(entry: Column, until: Column, since: Column) -> Column:
+    """``entry`` once for each slice from ``since`` up to ``until``, the latter excluded."""
+    return F.array_repeat(entry, (until - since).cast("int"))
 
-    A slice takes its own value, else that of the last slice before, else of
-    the next one. A patient who never has the feature gets the population
-    medians of the forward-filled table; null for a feature that no slice of any
-    patient has. The indicator tells what was missing
-    before any fill. The daily values give the slices and the list of features, so they are written once first.
-    """
-    daily = materialize(daily, "daily")
+
+def _slice_after(entries: Column, place: Column, n_slices: int) -> Column:
+    return F.coalesce(F.get(entries["slice"], place + 1), F.lit(n_slices + 1))
+
+
+def _patient_entries(daily: DataFrame, events: DataFrame, days: int, n_slices: int) -> DataFrame:
+    """(PATIENT, CVD, features): a patient's features with their own slices, both in order."""
     sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
     per_slice = aggregates.stats4(sliced, ["PATIENT", "CODE", "slice"], "value")
     entry = F.when(F.col("median").isNotNull(), _stats_row(F.col("slice")))
-    per_feature = per_slice.groupBy("PATIENT", "CODE").agg(F.collect_list(entry).alias("entries"))
+    per_feature = per_slice.groupBy("PATIENT", "CODE").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     listed = F.when(F.size("entries") > 0, F.struct(F.col("CODE").alias("feature"), F.col("entries")))
-    nested = per_feature.groupBy("PATIENT").agg(F.collect_list(listed).alias("features"))
-    nested = materialize(_with_label(nested, events), "x-temp")
-    # Features that are first seen after the last slice have rows too.
-    valued = daily.filter(F.col("value").isNotNull()).select("CODE").distinct()
-    every = materialize(valued.agg(F.array_sort(F.collect_set("CODE")).alias("all_features")), "feature-list").scalar()
-
-    entries, here = F.col("f.entries"), F.col("slice")
-    slices = F.explode(F.sequence(F.lit(1), F.lit(n_slices)))
-    down = F.array_max(F.filter(entries, lambda e: e["slice"] <= here))
-    up = F.array_min(F.filter(entries, lambda e: e["slice"] > here))
-
-    carried = (
-        nested.select(F.explode("features").alias("f"))
-        .withColumn("slice", slices)
-        .select(F.col("f.feature").alias("feature"), down.alias("d"))
-        .filter(F.col("d").isNotNull())
-        .select("feature", "d.sd", "d.min", "d.max", "d.median")
+    return _with_label(per_feature.groupBy("PATIENT").agg(F.collect_list(listed).alias("features")), events)
+
+
+def _typical_row(daily: DataFrame, nested: DataFrame, n_slices: int) -> DataFrame:
+    """One row ``typical``: every feature in order, with the population medians of the forward-filled table.
+
+    An entry that is carried over several slices is one row with that weight. Features that are first seen after the
+    last slice are in the list too, with null medians. The row's size is the number of features.
+    """
+    entries = nested.select(F.explode("features").alias("f")).select(
+        "f.feature",
+        F.explode(
+            F.transform(
+                "f.entries",
+                lambda e, i: F.struct(e.alias("e"), (_slice_after(F.col("f.entries"), i, n_slices) - e["slice"]).alias("times")),
+            )
+        ).alias("w"),
+    )
+    entries = entries.select("feature", "w.times", *[F.col(f"w.e.{s}").alias(s) for s in STATS])
+    medians = windows.population_medians(entries, "feature", STATS, F.col("times"))
+    valued = daily.filter(F.col("value").isNotNull()).select(F.col("CODE").alias("feature")).distinct()
+    row = F.struct(F.col("feature"), F.lit(0).alias("slice"), *[F.col(s) for s in STATS])
+    return valued.join(medians, "feature", "left").agg(F.array_sort(F.collect_list(row)).alias("typical"))
+
+
+def x_temp_nested(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
+    """(PATIENT, CVD, cells): one row per patient with all features in order, each with all slices filled.
+
+    ``cells`` is an array of (feature, slices); ``slices`` has (slice, sd, min, max, median, missing). The whole fill
+    happens inside the row: a patient's features are merged with the one row of all features, and each entry is
+    repeated until the next one. There is no window, join or shuffle after the entries have been gathered.
+    """
+    daily = materialize(daily, "daily")
+    nested = materialize(_patient_entries(daily, events, days, n_slices), "x-temp")
+    typical = materialize(_typical_row(daily, nested, n_slices), "typical").scalar()
+
+    kind = nested.schema["features"].dataType.simpleString()
+    never = F.transform(
+        F.array_except("_typical.feature", "features.feature"), lambda f: F.struct(f.alias("feature"), F.array().alias("entries"))
     )
-    medians = materialize(windows.population_medians(carried, "feature", STATS), "medians")
-    no_entries = F.filter(F.get(F.col("features.entries"), F.lit(0)), lambda e: F.lit(False))
-    blank = F.coalesce(no_entries, F.array().cast("array<struct<slice:int,sd:double,min:double,max:double,median:double>>"))
-    dense = (
-        nested.withColumn("_all", every)
-        .withColumn("_blank", blank)
-        .select(
-            "PATIENT",
-            "CVD",
-            F.explode(
-                F.concat(
-                    F.transform(
-                        F.array_except("_all", "features.feature"),
-                        lambda f: F.struct(f.alias("feature"), F.col("_blank").alias("entries")),
-                    ),
-                    F.col("features"),
-                )
-            ).alias("f"),
+    every = F.array_sort(F.concat("features", never.cast(kind)))
+
+    def slices_of(entries: Column, usual: Column) -> Column:
+        # The first entry also fills the slices before it.
+        runs = F.transform(
+            entries, lambda e, i: _carried(e, _slice_after(entries, i, n_slices), F.when(i == 0, 1).otherwise(e["slice"]))
         )
-        .withColumn("slice", slices)
-        .select(
-            "PATIENT",
-            "CVD",
-            F.col("f.feature").alias("feature"),
-            "slice",
-            F.coalesce(down, up).alias("v"),
-            (~F.exists(entries, lambda e: e["slice"] == here)).cast("int").alias("missing"),
+        blank = F.struct(F.lit(0).alias("slice"), *[F.lit(None).cast("double").alias(s) for s in STATS])
+        filled = F.when(F.size(entries) > 0, F.flatten(runs)).otherwise(F.array_repeat(blank, n_slices))
+        return F.transform(
+            filled,
+            lambda e, j: F.struct(
+                (j + 1).alias("slice"),
+                *[F.coalesce(e[s], usual[s]).alias(s) for s in STATS],
+                (e["slice"] != j + 1).cast("int").alias("missing"),
+            ),
         )
-    )
-    typical = medians.select("feature", *[F.col(s).alias(f"typical_{s}") for s in STATS])
-    return dense.join(typical, "feature", "left").select(
-        "PATIENT", "CVD", "feature", "slice", *[F.coalesce(f"v.{s}", f"typical_{s}").alias(s) for s in STATS], "missing"
-    )
+
+    cell = lambda own, usual: F.struct(own["feature"].alias("feature"), slices_of(own["entries"], usual).alias("slices"))
+    placed = nested.withColumn("_typical", typical).withColumn("_every", every)
+    return placed.select("PATIENT", "CVD", F.zip_with("_every", "_typical", cell).alias("cells"))
+
+
+def x_temp(daily: DataFrame, events: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
+    """(PATIENT, CVD, feature, slice, sd, min, max, median, missing) with every slice of every patient.
+
+    A slice takes its own value, else that of the last slice before, else of
+    the next one. A patient who never has the feature gets the population
+    medians of the forward-filled table; null for a feature that no slice of any
+    patient has. The indicator tells what was missing before any fill.
+    """
+    nested = x_temp_nested(daily, events, days, n_slices)
+    features = nested.select("PATIENT", "CVD", F.explode("cells").alias("c"))
+    return features.select("PATIENT", "CVD", "c.feature", F.inline("c.slices"))
+
+
+def _listed_cells(cells: Column, names: Sequence[str], kind: str) -> Column:
+    """``cells`` if they are of exactly the listed features, else an error: never a shifted row."""
+    wrong = F.raise_error(F.lit("the table has other features than the listed ones")).cast(kind)
+    return F.when(cells["feature"] == F.array(*[F.lit(f) for f in names]), cells).otherwise(wrong)
+
+
+def x_temp_wide(nested: DataFrame, features: Sequence[str], n_slices: int = 8) -> DataFrame:
+    """Columns ``<feature>_<statistic>_slice<n>`` per patient, picked from the nested rows by place: no shuffle."""
+    ordered = sorted(features)
+    checked = nested.withColumn("cells", _listed_cells(F.col("cells"), ordered, nested.schema["cells"].dataType.simpleString()))
+    picked = [
+        f"cells[{i}].slices[{n - 1}].{s} as `{f}_{s}_slice{n}`"
+        for i, f in enumerate(ordered)
+        for n in range(1, n_slices + 1)
+        for s in ALL_STATS
+    ]
+    return checked.selectExpr("PATIENT", "CVD", *picked)
 
 
 def x_temp_flat(long: DataFrame, features: Sequence[str], n_slices: int = 8) -> DataFrame:
-    """Columns ``<feature>_<statistic>_slice<n>`` per patient."""
+    """Columns ``<feature>_<statistic>_slice<n>`` per patient, from a stored long table; see also ``x_temp_wide``."""
     cells = [(f, n) for f in sorted(features) for n in range(1, n_slices + 1)]
     names = [f"{f}_{s}_slice{n}" for f, n in cells for s in ALL_STATS]
     return _columns_from_cells(long, ["feature", "slice"], cells, names)

@@ -142,6 +142,20 @@ def test_wide_tables_match_the_long_ones(spark):
     assert flat.filter("PATIENT = 'p1'").first()["a_median_slice3"] == 6.0
     with pytest.raises(Exception, match="not dense"):
         features.x_agg_wide(features.x_agg(daily, labelled(spark)), ["a", "b"]).collect()
+    nested = features.x_temp_nested(daily, labelled(spark))
+    assert sorted(features.x_temp_wide(nested, ["c", "b", "a"]).collect()) == sorted(flat.collect())
+    assert features.x_temp_wide(nested, ["a", "b", "c"]).columns == flat.columns
+    for names in (["a", "b"], ["a", "b", "d"], ["a", "b", "c", "d"]):
+        with pytest.raises(Exception, match="other features"):
+            features.x_temp_wide(nested, names).collect()
+
+
+def test_nested_rows_need_no_shuffle_after_the_entries(spark):
+    """The fill and the wide table are one pass over the stored patients."""
+    nested = features.x_temp_nested(observations(spark, CASES), labelled(spark))
+    for table in (nested, features.x_temp_wide(nested, ["a", "b", "c"])):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
 
 
 def test_last_day_of_the_horizon_counts(spark):
