@@ -210,3 +210,18 @@ def test_decontamination_stage_keeps_clean_documents(spark, tmp_path):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs.select("doc_id", "text"), none).count() == 0
     assert decontamination.contaminated(docs.select("doc_id", "text").limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_removed_lines_do_not_depend_on_slices_or_hot_cells(spark, monkeypatch):
+    docs = spark.range(60).selectExpr(
+        "id as doc_id",
+        "concat('the common words of a line that many share ', id % 7, '\\n', 'page ', id, ' of nine views in a row', '\\n', 'own ', id * 977) as text",
+    )
+    found = []
+    # All cells hot, none hot; one slice, several.
+    for hot, parts, slices in ((1 << 20, 3, 1), (0, 64, 3)):
+        monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(lines, "PARTS", parts)
+        monkeypatch.setattr(lines, "SLICES", slices)
+        found.append(sorted((r.doc_id, tuple(r.removed)) for r in lines.removed_lines(docs).collect()))
+    assert found[0] == found[1] != []
