@@ -132,17 +132,43 @@ def x_agg_wide(long: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def dense_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
-    """(PATIENT, CODE, slice) for every slice, patient and feature, with the raw statistics.
+    """(PATIENT, CODE, slice) for every slice, patient and feature, with the raw statistics."""
+    return windows.unfold(nested_slices(daily, days, n_slices), ["PATIENT", "CODE"], slice_rows(n_slices))
 
-    The daily values are read three times, so they are written once first.
+
+def slice_rows(n_slices: int = 8) -> list[str]:
+    """Names of the columns of ``nested_slices`` that hold a slice each."""
+    return [f"slice{n}" for n in range(1, n_slices + 1)]
+
+
+def nested_slices(daily: DataFrame, days: int = 180, n_slices: int = 8) -> DataFrame:
+    """(PATIENT, CODE, slice1, slice2, ...) for every patient and feature: each slice is one struct (slice, sd, min, max, median).
+
+    Only the statistics that exist are gathered; gaps and features that a patient never has are added inside the
+    patient's row, so the dense table is neither joined, shuffled nor sorted. The daily values are read several
+    times, so they are written once first.
     """
     daily = materialize(daily, "daily")
     sliced = windows.anchored_slices(daily, "PATIENT", "DATE", days, n_slices, reduced=True)
     per_slice = aggregates.stats4(sliced, ["PATIENT", "CODE", "slice"], "value")
+    # Records without a patient give a patient without statistics.
+    known = F.col("median").isNotNull() & F.col("PATIENT").isNotNull() & F.col("CODE").isNotNull()
+    entries = F.collect_list(F.when(known, F.struct("slice", *STATS)))
+    per_feature = per_slice.groupBy("PATIENT", "CODE").agg(entries.alias("entries"))
+    listed = F.when(F.size("entries") > 0, F.struct("CODE", "entries"))
+    nested = per_feature.groupBy("PATIENT").agg(F.collect_list(listed).alias("features"))
     valued = daily.filter(F.col("value").isNotNull()).select("CODE").distinct()
     names = valued.agg(F.array_sort(F.collect_set("CODE")).alias("names")).scalar()
-    pairs = daily.select("PATIENT").distinct().withColumn("CODE", F.explode(names))
-    return joins.slice_grid(pairs, n_slices).join(per_slice, ["PATIENT", "CODE", "slice"], "left")
+    never = F.transform(F.array_except("_names", "features.CODE"), lambda f: F.struct(f.alias("CODE"), F.array().alias("entries")))
+    every = F.concat("features", never.cast(nested.schema["features"].dataType))
+    cells = nested.withColumn("_names", names).select("PATIENT", F.explode(every).alias("c")).select("PATIENT", "c.CODE", "c.entries")
+
+    def at(n: int) -> Column:
+        return F.get("entries", (F.array_position("_held", F.lit(n)) - 1).cast("int"))
+
+    placed = cells.withColumn("_held", F.col("entries.slice")).select("PATIENT", "CODE", *[at(n + 1).alias(r) for n, r in enumerate(slice_rows(n_slices))])
+    slices = [F.struct(F.lit(n + 1).alias("slice"), *[F.col(r)[s].alias(s) for s in STATS]).alias(r) for n, r in enumerate(slice_rows(n_slices))]
+    return placed.select("PATIENT", "CODE", *slices)
 
 
 def _carried(entry: Column, until: Column, since: Column) -> Column:
