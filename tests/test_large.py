@@ -1,14 +1,14 @@
-"""Dense tables are made and filled inside a patient's row, pivots hold what keys have, records are joined once."""
+"""Dense tables are made and filled inside a patient's row, and pivots hold what keys have."""
 
 from __future__ import annotations
 
+import math
 import math
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.catalog.views import Views
 from cohortloom.operators import shape, windows
 from cohortloom.operators.aggregates import STATS
 from cohortloom.plans import features
@@ -69,3 +69,13 @@ def test_pivot_holds_only_what_a_key_has(spark):
     assert {tuple(r) for r in got.collect()} == want
     # Before, each key held a value of each column in a hash map.
     assert "pivotfirst" not in _plan(shape.pivot_wide(df.filter("value <> 4"), ["k"], "name", "value", ["a", "b", "c"]))
+
+
+def test_arrays_of_nested_rows_equal_those_of_the_long_table(spark, daily):
+    events = spark.createDataFrame([(1, date(2012, 1, 1))], "PATIENT int, first_cvd_date date")
+    nested = materialize(features.x_temp_nested(daily, events))
+    long = materialize(features.x_temp(daily, events))
+    found, want = features.feature_arrays(nested), features.feature_arrays(long)
+    assert "Exchange" not in _plan(found).split("Subquery")[0]
+    as_rows = lambda df: sorted((str(r.PATIENT), r.CVD, [x is not None and not math.isnan(x) and round(x, 9) for x in r.features]) for r in df.collect())
+    assert as_rows(found) == as_rows(want)
