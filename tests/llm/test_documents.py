@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -142,6 +143,38 @@ def test_every_word_seen_twice_takes_part_in_the_rounds(spark, monkeypatch):
     assert model.lexicon.count() == 40_000 + 40 + 1
 
 
+def test_neighbours_are_added_up_in_a_row_for_each_part_of_the_words(spark):
+    """A round over 80,000 tokens sends a few packed rows on, not one for each pair of words."""
+    draw = np.random.default_rng(5)
+    lists = [[f"w{w}" for w in draw.integers(0, 3000, 2000) ** 2 // 3000] for _ in range(40)]
+    table = spark.createDataFrame([(" ".join(words),) for words in lists], "text string")
+    seen = Counter(w for words in lists for w in words)
+    hashed = np.concatenate([words for words, _ in language_model.tokens(pa.array([" ".join(seen)]))])[:-1]
+    names = dict(zip(hashed.tolist(), seen, strict=True))
+    core = np.sort(hashed[[n > 5 for n in seen.values()]])
+    place = {names[h]: k for k, h in enumerate(core.tolist())}
+    end, rest, width, slots = len(core), len(core) + 1, language_model.WIDTH, language_model.SLOTS
+    classes = np.append(np.arange(end) % language_model.CLASSES, [language_model.END_CLASS, language_model.NEW_CLASS])
+    moving = np.append(np.arange(end) % 3 > 0, [False, False])
+    want, cells = Counter(), Counter()
+    for words in lists:
+        own = [end, *(place.get(w, rest) for w in words), end]
+        for a, b in zip(own, own[1:]):
+            cells[classes[a], classes[b]] += 1
+            want[a, 2 * width if a == b else classes[b]] += moving[a]
+            want[b, width + classes[a]] += moving[b] and a != b
+    numbered = language_model._numbered(table, core).cache()
+    matrix = language_model._matrix(numbered, classes)
+    assert {k: matrix[k] for k in cells} == cells and matrix.sum() == sum(cells.values())
+    rows = language_model._slots(numbered, classes, moving).collect()
+    got = Counter()
+    for r in rows:
+        for cell, n in zip(np.frombuffer(r["cells"], np.int32).tolist(), np.frombuffer(r["ns"], np.int32).tolist()):
+            got[r["part"] * language_model.WORDS + cell // slots, cell % slots] += n
+    assert got == +want
+    assert len(rows) <= numbered.rdd.getNumPartitions() * (end // language_model.WORDS + 1) < 100
+
+
 def test_pieces_come_back_and_best_paths_are_right(docs):
     vocabulary = pieces.load()
     assert all(r.round_trip for r in pieces.digests(docs, vocabulary).collect())
