@@ -2,7 +2,7 @@
 
 Every word of the learning texts belongs to one of ``CLASSES`` classes. Exchange clustering moves
 words to the class that gains most log-likelihood of the class bigrams. It runs in rounds over
-all words seen ``CORE`` times or more, whose bigrams are counted once by the words' numbers; the
+all words seen ``CORE`` times or more; the texts are stored once as the words' numbers, which each round reads; the
 words of one half are moved at a time, against the counts of the round before, and words seen
 once, which stand for new ones, are one class meanwhile. Then each of these is moved from there to
 its best class, from its neighbours' classes. A text is scored by transitions between classes and emissions of words:
