@@ -8,6 +8,7 @@ text is therefore a row of independent lattices, one for each word with the blan
 and the N best of the text are the N best sums of theirs. A word's second best score follows
 from its forward and backward scores alone (the best path over an edge off the best path), so
 the search is run for the few words of each text whose other paths can be among its N best.
+The forward pass goes over all new words of about ``GROUP`` characters of text side by side.
 
 The vocabulary is one of merges in order of frequency; its piece of rank r gets Zipf's
 probability 1 / ((r + 1) H). A character without a piece is spelled in byte pieces, as is the
@@ -27,7 +28,7 @@ import math
 import pickle
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -44,9 +45,13 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Words whose best segmentations a task remembers at once, and the longest that it remembers, in characters.
 REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+#: Characters of text whose new words are segmented side by side.
+GROUP = 1 << 20
 #: Log-probabilities are counted in parts of this size.
 PARTS = 1 << 32
-_NEVER = -(1 << 200)
+_NEVER, _NEVER_64 = -(1 << 200), -(1 << 61)
+#: Bits of a code point.
+_CODE = 21
 
 BLANK = "▁"
 SIGN = "sign"
@@ -188,12 +193,101 @@ def best_and_gap(vocabulary: Vocabulary, text: str) -> tuple[int, list[int], flo
     return first[n], ids[::-1], first[n] - second[n] if second[n] > _NEVER // 2 else math.inf
 
 
+class Tree:
+    """The pieces as a tree of characters, in arrays, for ``best_and_gap`` of many strings at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.bytes_of = vocabulary, vocabulary.text_of()
+        node = {"": 0} | {p: k for k, p in enumerate(vocabulary.pieces, 1)}
+        keys = np.array([node[p[:-1]] << _CODE | ord(p[-1]) for p in vocabulary.pieces], np.int64)
+        self.child = np.argsort(keys) + 1
+        #: Sorted (node, character) of every step down, and a last key that no string has.
+        self.keys = np.append(keys[self.child - 1], np.iinfo(np.int64).max)
+        self.ids, self.scores = (np.array([0, *column], np.int64) for column in zip(*vocabulary.pieces.values(), strict=True))
+        self.lengths = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        self.lengths[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, length, id, score) of all pieces; a character without one has the id -1. ``left``: characters to the string's end."""
+        at, node, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        for k in range(int(left.max(initial=0))):
+            if not len(at):
+                break
+            key = node[at] << _CODE | codes[at + k]
+            step = np.searchsorted(self.keys, key)
+            there = self.keys[step] == key
+            node[at[there]] = self.child[step[there]]
+            if k == 0:
+                alone = np.ones(len(codes), bool)
+                alone[there] = self.ids[node[there]] < 0
+                bare = np.flatnonzero(alone)
+                n_bytes = 1 + sum((codes[bare] > most).astype(np.int64) for most in (0x7F, 0x7FF, 0xFFFF))
+                found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1), n_bytes * self.vocabulary.byte_score))
+            at = at[there]
+            own = at[self.ids[node[at]] >= 0]
+            found.append((own, np.full(len(own), k + 1), self.ids[node[own]], self.scores[node[own]]))
+            at = at[left[at] > k + 1]
+        return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+    def best(self, strings: list[str]) -> Iterator[tuple[int, bytes, bytes, float]]:
+        """(score, ids as bytes, decoded bytes, gap) of strings of 1 to ``REMEMBERED_LENGTH`` characters, as ``best_and_gap`` has them."""
+        codes = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = np.array([len(s) for s in strings], np.int64)
+        ends = np.cumsum(n)
+        word = np.repeat(np.arange(len(n)), n)
+        place, length, ids, scores = self._edges(codes, ends[word] - np.arange(len(codes)))
+        # Pieces that begin at the same distance from the start of their strings end at different places: one step for all.
+        offset = place - (ends - n)[word[place]]
+        order = np.argsort(offset.astype(np.uint8), kind="stable")
+        place, length, ids, scores = (column[order] for column in (place, length, ids, scores))
+        start = place + word[place]
+        end = start + length
+        first, second = np.full((2, len(codes) + len(n)), _NEVER_64)
+        came = np.zeros(len(first), np.int64)
+        first[ends - n + np.arange(len(n))] = 0
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(offset))])
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            a, b, score = start[low:high], end[low:high], scores[low:high]
+            total, most = first[a] + score, first[b]
+            better = total > most
+            second[b] = np.maximum(np.where(better, most, total), np.where(better, second[a] + score, second[b]))
+            first[b] = np.where(better, total, most)
+            came[b[better]] = np.flatnonzero(better) + low
+        # Back along the best paths, all strings side by side.
+        last = ends + np.arange(len(n))
+        here, which, walked = last, np.arange(len(n)), []
+        while len(which):
+            edge = came[here]
+            walked.append((which, edge))
+            on = offset[order[edge]] > 0
+            here, which = start[edge][on], which[on]
+        of, edge = (np.concatenate(column[::-1]) for column in zip(*walked, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, edge = of[order], edge[order]
+        # A spelled character is as many ids as it has bytes.
+        bare = np.flatnonzero(ids[edge] < 0)
+        spelled = [self.vocabulary.spelled(chr(c))[0] for c in codes[place[edge[bare]]].tolist()]
+        many = np.ones(len(edge), np.int64)
+        many[bare] = [len(own) for own in spelled]
+        path, of = np.repeat(ids[edge], many), np.repeat(of, many)
+        path[path < 0] = [i for own in spelled for i in own]
+        data, text = path.astype(np.int32).tobytes(), b"".join(map(self.bytes_of.__getitem__, path.tolist()))
+        cut = np.searchsorted(of, np.arange(len(n) + 1))
+        cut_text = np.concatenate([[0], np.cumsum(self.lengths[path])])[cut].tolist()
+        cut = (4 * cut).tolist()
+        more = second[last] > _NEVER_64 // 2
+        gaps = [gap if there else math.inf for gap, there in zip((first[last] - second[last]).tolist(), more.tolist(), strict=True)]
+        for k, (score, gap) in enumerate(zip(first[last].tolist(), gaps, strict=True)):
+            yield score, data[cut[k] : cut[k + 1]], text[cut_text[k] : cut_text[k + 1]], gap
+
+
 class Coder:
     """Segmentations of whole texts from those of their units."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
         self.vocabulary, self.n = vocabulary, n
-        self.bytes_of = vocabulary.text_of()
+        self.tree = Tree(vocabulary)
+        self.bytes_of = self.tree.bytes_of
         self.known: dict[str, tuple] = {}
         self.searched: dict[str, list] = {}
         self.literal = [vocabulary.byte_ids[b] for b in BLANK.encode()]
@@ -222,8 +316,8 @@ class Coder:
             self.searched[name] = found
         return found
 
-    def units(self, text: str) -> list[tuple]:
-        """Units of a text, each looked up under ``w`` and its string, or under ``SIGN`` for the blank sign itself."""
+    def names(self, text: str) -> list[str]:
+        """Names of a text's units: ``w`` and its string, or ``SIGN`` for the blank sign itself."""
         if not text:
             return []
         names: list[str] = []
@@ -232,8 +326,34 @@ class Coder:
                 names.append(SIGN)
             part = part.replace(" ", BLANK) if k else BLANK + part.replace(" ", BLANK)
             names += ["w" + u for u in _UNIT.findall(part)]
+        return names
+
+    def units(self, text: str) -> list[tuple]:
+        """Units of a text."""
+        known, unit = self.known, self.unit
+        return [known.get(name) or unit(name) for name in self.names(text)]
+
+    def units_of(self, texts: Iterable[str]) -> Iterator[list[tuple]]:
+        """Units of each of ``texts``; the new ones of about ``GROUP`` characters are segmented at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.names(text))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._looked_up(held)
+                held, size = [], 0
+        yield from self._looked_up(held)
+
+    def _looked_up(self, held: list[list[str]]) -> Iterator[list[tuple]]:
+        every = set().union(*held)
+        if len(self.known) + len(every) > REMEMBERED:
+            self.known.clear()
+        new = [name for name in every if name not in self.known and name != SIGN and len(name) <= REMEMBERED_LENGTH]
+        if new:
+            self.known |= {name: (*made, name) for name, made in zip(new, self.tree.best([name[1:] for name in new]), strict=True)}
         known, unit = self.known, self.unit
-        return [known.get(name) or unit(name) for name in names]
+        for names in held:
+            yield [known.get(name) or unit(name) for name in names]
 
     def pieces(self, units: list[tuple], other: dict[int, int]) -> list[int]:
         """Ids of all units, with other paths than the best at the places in ``other``."""
@@ -279,8 +399,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
         coder = Coder(pickle.loads(shared.value), n)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                units = coder.units(text or "")
+            for units in coder.units_of(text or "" for text in batch.column("text").to_pylist()):
                 rows.append(
                     [
                         {"score": score, "pieces": coder.pieces(units, other)}
@@ -316,12 +435,11 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(pickle.loads(shared.value), n)
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                units = coder.units(text or "")
+            rows, texts = [], [text or "" for text in batch.column("text").to_pylist()]
+            for text, units in zip(texts, coder.units_of(texts), strict=True):
                 ids = b"".join(u[1] for u in units)
                 best = coder.best(units)
-                same = coder.decode(units) == (text or "")
+                same = coder.decode(units) == text
                 rows.append((len(ids) // 4, best[0][0], sha256(ids).hexdigest(), len(best), best[-1][0], same))
             kinds = (pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
             columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)

@@ -291,3 +291,17 @@ def test_pipeline(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r.round_trip for r in rows)
     assert len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_new_words_are_segmented_side_by_side(monkeypatch):
+    """As one by one, ties, spelled characters, blanks and the blank sign included; only long words go one by one."""
+    ranks = {p: (k + 300, float(k)) for k, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "▁ab", "aba", "é", "▁▁", "abab", "c"])}
+    vocabulary = pieces.vocabulary_of(ranks, list(range(256)))
+    texts = ["", "a", "abababa ab", " ", "  ab  ", "é\U0001f600z中 ▁ a▁b", "a\nb", "zz " * 3, "ab" * 40 + " ba", "ba ab " * 9]
+    one, many = pieces.Coder(vocabulary), pieces.Coder(vocabulary)
+    expected = [one.units(text) for text in texts]
+    single, seen = pieces.best_and_gap, []
+    monkeypatch.setattr(pieces, "best_and_gap", lambda v, text: (seen.append(text), single(v, text))[1])
+    monkeypatch.setattr(pieces, "GROUP", 20)
+    assert list(many.units_of(texts)) == expected
+    assert seen == ["▁" + "ab" * 40]
