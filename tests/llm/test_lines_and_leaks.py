@@ -225,3 +225,22 @@ def test_removed_lines_do_not_depend_on_slices_or_hot_cells(spark, monkeypatch):
         monkeypatch.setattr(lines, "SLICES", slices)
         found.append(sorted((r.doc_id, tuple(r.removed)) for r in lines.removed_lines(docs).collect()))
     assert found[0] == found[1] != []
+
+
+def test_long_lines_of_a_common_vocabulary_make_no_pairs(spark, monkeypatch):
+    """Lines of 200 of 400 words differ in about 200: 64 bits leave every pair open, the bits at the meeting do not."""
+    draw, words = random.Random(3), [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(draw.sample(words, 200))) for k in range(60)]
+    rows.append((60, rows[7][1] + " another"))  # similar to an earlier one
+    written: dict[str, int] = {}
+    stored = lines.materialize
+
+    def counted(df, name):
+        out = stored(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    removed = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.doc_id, r.removed) for r in removed.collect()] == [(60, [0])]
+    assert written["slice"] <= 10
