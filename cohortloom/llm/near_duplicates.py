@@ -193,6 +193,28 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return own.join(mixed, "key")
 
 
+def _share(n: Column, percent: int) -> Column:
+    """Common members that two sets of ``n`` members together need."""
+    return F.ceil(percent * n / F.lit(100 + percent))
+
+
+def _couples(shorter: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(key, label, other): components with a member in ``shorter`` and others of ``own`` that meet in a list.
+
+    Two components are left out where the extremes of their members leave no pair open; those of a component
+    of one member are its own, so that many single documents in one list are not paired with each other first.
+    """
+
+    def extremes(rows: DataFrame, label: str, x: str) -> DataFrame:
+        bounds = {"low": F.min("n"), "high": F.max("n"), "rest": F.max(F.col("n") - F.col("at"))}
+        return rows.groupBy("key", F.col("label").alias(label)).agg(*[value.alias(f"{name}_{x}") for name, value in bounds.items()])
+
+    sizes = F.expr("low_a <= high_b") & (100 * F.col("high_a") >= percent * F.col("low_b"))
+    rest = F.least("rest_a", "rest_b") >= _share(F.col("low_a") + F.col("low_b"), percent)
+    met = extremes(shorter, "label", "a").join(extremes(own, "other", "b"), "key")
+    return met.where(F.expr("label <> other") & sizes & rest).select("key", "label", "other")
+
+
 def _open_pairs(own: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of different components that meet in a list of shingles and may be similar enough.
 
@@ -200,15 +222,12 @@ def _open_pairs(own: DataFrame, percent: int) -> DataFrame:
     sizes must share more; and what follows the meeting place must suffice for that share.
     Components that meet are found first, so that a list's members of one component never pair.
     """
-    share = lambda n: F.ceil(percent * n / F.lit(100 + percent))
-    shorter = own.where(F.col("at") <= F.col("n") - share(2 * F.col("n")))
-    met = shorter.select("key", "label").distinct()
-    couples = met.join(own.select("key", F.col("label").alias("other")).distinct(), "key").where("label <> other")
+    shorter = own.where(F.col("at") <= F.col("n") - _share(2 * F.col("n"), percent))
     first = shorter.select("key", "label", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     second = own.select("key", F.col("label").alias("other"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     sizes = F.expr("n_a < n_b or (n_a = n_b and a < b)") & (100 * F.col("n_a") >= percent * F.col("n_b"))
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= share(F.col("n_a") + F.col("n_b"))
-    pairs = couples.join(first, ["key", "label"]).join(second, ["key", "other"])
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= _share(F.col("n_a") + F.col("n_b"), percent)
+    pairs = _couples(shorter, own, percent).join(first, ["key", "label"]).join(second, ["key", "other"])
     return pairs.where(sizes & rest).select("a", "b")
 
 

@@ -305,3 +305,13 @@ def test_new_words_are_segmented_side_by_side(monkeypatch):
     monkeypatch.setattr(pieces, "GROUP", 20)
     assert list(many.units_of(texts)) == expected
     assert seen == ["▁" + "ab" * 40]
+
+
+def test_single_documents_of_one_list_are_not_paired_where_their_places_rule_it_out(spark):
+    """60 documents of 100 shingles meet late in their prefixes; two of them early enough to be similar."""
+    rows = [(1, k, 100, 11 if k in (7, 9) else 12 + k % 8, k) for k in range(60)] + [(1, 90, 100, 30, 7), (1, 91, 100, 31, 9)]
+    own = spark.createDataFrame(rows, "key long, id long, n int, at int, label long")
+    shorter = own.where("n = 100 and at <= 11")
+    couples = near_duplicates._couples(shorter, own, 80)
+    assert sorted(tuple(r) for r in couples.collect()) == [(1, 7, 9), (1, 9, 7)]
+    assert [tuple(r) for r in near_duplicates._open_pairs(own, 80).collect()] == [(7, 9)]
