@@ -16,11 +16,9 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _records(self) -> DataFrame:
-        line = self.table("lineitem")
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
-        return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(
-            self.table("part"), F.col("l_partkey") == F.col("p_partkey")
-        )
+        # Parts come first: a filter on codes or descriptions then holds before the lines meet the orders.
+        line = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        return line.join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def conditions(self) -> DataFrame:
         return self._records().select(

@@ -1,10 +1,11 @@
-"""Wide model inputs: fits in few passes, arrays without interpreted rows."""
+"""Fits of wide model inputs in few passes, and the order of the joins of large tables."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel
 
+from cohortloom.catalog.views import Views
 from cohortloom.operators import models
 from cohortloom.plans import modelling
 from cohortloom.session import materialize
@@ -35,3 +36,10 @@ def test_wide_logistic_of_one_class(spark):
     train = models.from_arrays(spark.createDataFrame([(1.0, [1.0, 2.0]), (1.0, [0.0, 5.0])], "y double, a array<double>"), "a", "y")
     p = models.score(models.fit_wide_logistic(train), train, ["label"]).toPandas()["prob_class_1"]
     assert p.tolist() == [1.0, 1.0]
+
+
+def test_records_are_filtered_before_they_meet_the_orders(spark, folder):
+    some = Views(spark, folder).observations().filter("DESCRIPTION = 'brand#9'")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "l_orderkey" in joins[0] and "l_partkey" in joins[1]
